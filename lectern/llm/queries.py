@@ -5,8 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import splits
-from lectern.session import table
+from lectern.llm import consensus, splits
+from lectern.session import cut, table
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> tuple:
+    votes, known = consensus.usage_votes(*[table(spark, sf_dir, t) for t in ("entity_spans", "usage_labels", "use_corrections")])
+    votes = cut(votes)
+    items = cut(consensus.patterns(votes, known))
+    model = consensus.fit(items)
+    return votes, consensus.posteriors(items, model), model
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[1].where("consensus").select(F.col("item").alias("span_id"))
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir)[1]
+
+
+def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.reliability(*_consensus(spark, sf_dir))
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(consensus.usage_votes(*[table(spark, sf_dir, t) for t in ("entity_spans", "usage_labels", "use_corrections")])[0])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +42,5 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_splits": p4_splits}
+QUERIES = {"p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits}
 SQL: dict[str, str] = {}
