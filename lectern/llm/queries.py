@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import consensus, splits
+from lectern.llm import confusables, consensus, splits
 from lectern.session import cut, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = confusables.found(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+    texts = confusables.found(table(spark, sf_dir, "texts"), "text_id", "text")
+    return forms.select(F.lit("raw_form").alias("row_kind"), "row_key").unionByName(texts.select(F.lit("text").alias("row_kind"), "row_key"))
+
+
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.canonicalize(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+
+
+def p2_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.look_alikes(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+
+
 def _consensus(spark: SparkSession, sf_dir: str) -> tuple:
     votes, known = consensus.usage_votes(*[table(spark, sf_dir, t) for t in ("entity_spans", "usage_labels", "use_corrections")])
     votes = cut(votes)
@@ -42,5 +56,5 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits}
 SQL: dict[str, str] = {}
