@@ -26,7 +26,7 @@ from lectern.llm.confusables import skeleton
 
 _number = re.compile(r"\d[\d.,]*")
 _unit = re.compile(r"(?<=\d)\s*(?:mm|cm|km|kg|mg|ml|µm|%|°\s?[CF]|hours?|Hz|kHz|MB|GB)(?![A-Za-z])")
-_name = re.compile(r"\b(?:[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*|[A-Z]{3,}[0-9]*)\b")
+_name = re.compile(r"\b[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*\b")  # inner capitals; words in capitals may be any words
 _drop = re.compile(r"[\W_]+")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 
