@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import confusables, consensus, leakage, splits
+from lectern.llm import confusables, consensus, leakage, sentences, splits
 from lectern.session import cut, table
 
 
@@ -56,6 +56,10 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "documents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "texts"))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "holdout_items"))
 
@@ -64,5 +68,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks}
 SQL: dict[str, str] = {}
