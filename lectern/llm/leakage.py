@@ -50,22 +50,45 @@ def is_dense(stream: str) -> bool:
     return len(_dense.findall(stream)) > 0.3 * len(stream)
 
 
+def _rolling(stream: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hashes of all windows of k characters, built from halves."""
+    base, out, have = 0x100000001B3, None, 0
+    part, size = stream, 1
+    while True:
+        if k & size:
+            n = len(stream) - have - size + 1
+            out = part[:n] if out is None else out[: n] * np.uint64(pow(base, size, 1 << 64)) + part[have : have + n]
+            have += size
+        if have == k:
+            return out
+        part = part[:-size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+        size *= 2
+
+
+def _extreme(x: np.ndarray, w: int, pick) -> np.ndarray:
+    """Sliding minimum or maximum over w (a power of two) values."""
+    step = 1
+    while step < w:
+        x = pick(x[:-step], x[step:])
+        step *= 2
+    return x
+
+
 def window_minima(stream: np.ndarray, k: int, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the minima of each w rolling hashes of k characters."""
     n = len(stream) - k + 1
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * np.uint64(0x100000001B3) + stream[j : j + n]
-    h ^= h >> np.uint64(29)
+    h = _rolling(stream, k)
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     if n <= w:
         at = np.array([int(h.argmin())])
     else:
-        view = np.lib.stride_tricks.sliding_window_view(h, w)
-        at = np.unique(view.argmin(1) + np.arange(n - w + 1))
+        pad = np.zeros(w - 1, np.uint64)
+        lows = np.concatenate([pad, _extreme(h, w, np.minimum), pad])
+        at = np.flatnonzero(_extreme(lows, w, np.maximum) == h)
     return at, h[at]
 
 
@@ -105,21 +128,23 @@ class Items:
         return g, dict(at)
 
 
-def chain(item_at: np.ndarray, doc_at: np.ndarray, item_id: np.ndarray, band: int = 96) -> list[tuple[int, int, int, int]]:
-    """(item, distinct item windows, first and last doc place) of the best diagonal band of each item."""
-    diagonal = doc_at - item_at
-    out = {}
+def chain(item_at: np.ndarray, doc_at: np.ndarray, pair: np.ndarray, need: np.ndarray, band: int = 96) -> list[tuple[int, int, int, int]]:
+    """(pair, distinct item windows, first and last doc place) of diagonal bands with at least need[pair's row] windows.
+
+    pair: one number per item and document; need: the least count, row by row."""
+    diagonal = doc_at - item_at + (1 << 27)
+    out = []
     for shift in (0, band // 2):
-        key = item_id * (1 << 40) + (diagonal + (1 << 38) + shift) // band
+        key = pair * (1 << 24) + (diagonal + shift) // band
         order = np.lexsort((item_at, key))
-        k, a, d, it = key[order], item_at[order], doc_at[order], item_id[order]
+        k, a, d = key[order], item_at[order], doc_at[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])]
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         n = np.add.reduceat(new.astype(np.int64), starts)
+        keep = n >= need[order][starts]
         lo, hi = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
-        for i, c, x, y in zip(it[starts], n, lo, hi):
-            out.setdefault(int(i), []).append((int(c), int(x), int(y)))
-    return [(i, *b) for i, bs in out.items() for b in bs]
+        out += list(zip(pair[order][starts][keep].tolist(), n[keep].tolist(), lo[keep].tolist(), hi[keep].tolist()))
+    return out
 
 
 def passage(gram: int, grams: dict, doc: str, cost: float = 2.5, gap: int = 45) -> tuple[int, int, int, int]:
@@ -189,29 +214,27 @@ def scan(items: Items, min_cover: float, min_share: float):
                     pos = np.repeat(at[hit], times)
                     entry = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     which = np.searchsorted(base, pos, "right") - 1
-                    cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
-                    for a, b in zip(cuts[:-1], cuts[1:]):
-                        e = entry[a:b]
-                        if b - a < min_share * items.count[its[e]].min():
-                            continue
-                        r, seen, plain = own[which[a]], {}, None
-                        for i, n, x, y in chain(ats[e], pos[a:b] - base[which[a]], its[e]):
-                            share = n / items.count[i]
-                            if share < min_share:
-                                continue
-                            if plain is None:
-                                plain = plain_stream(texts[r])
-                            gram, grams = items.grams[i]
-                            scale = len(plain) / max(1, len(templates[r]))
-                            size = len(items.plain[i])
-                            f, t = int(max(0, x * scale - 200 - 0.7 * size)), int(y * scale + 200 + 0.7 * size)
-                            i0, i1, d0, d1 = passage(gram, grams, plain[f:t])
-                            cover = (i1 - i0) / max(1, size)
-                            if cover >= min_cover and cover > seen.get(i, (0,))[0]:
-                                want = _numbers(items.plain[i][i0:i1])
-                                there = _numbers(plain[f:t][d0:d1])
-                                seen[i] = (cover, share, sum(x == y for x, y in zip(want, there)) / len(want) if want else 1.0)
-                        rows += [(items.ids[i], part["doc_id"].iloc[r], *v) for i, v in seen.items()]
+                    it, n_items = its[entry], len(items.ids)
+                    need = np.maximum(1, np.ceil(min_share * items.count[it]))
+                    seen, plains = {}, {}
+                    for pair, n, x, y in chain(ats[entry], pos - base[which], which * n_items + it, need):
+                        w, i = divmod(pair, n_items)
+                        r = own[w]
+                        plain = plains.get(r)
+                        if plain is None:
+                            plain = plains[r] = plain_stream(texts[r])
+                        gram, grams = items.grams[i]
+                        scale = len(plain) / max(1, len(templates[r]))
+                        size = len(items.plain[i])
+                        f, t = int(max(0, x * scale - 200 - 0.7 * size)), int(y * scale + 200 + 0.7 * size)
+                        i0, i1, d0, d1 = passage(gram, grams, plain[f:t])
+                        cover = (i1 - i0) / max(1, size)
+                        if cover >= min_cover and cover > seen.get((r, i), (0,))[0]:
+                            want = _numbers(items.plain[i][i0:i1])
+                            there = _numbers(plain[f:t][d0:d1])
+                            equal = sum(p == q for p, q in zip(want, there)) / len(want) if want else 1.0
+                            seen[r, i] = (cover, n / items.count[i], equal)
+                    rows += [(items.ids[i], part["doc_id"].iloc[r], *v) for (r, i), v in seen.items()]
             yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "template_share", "slots_equal"])
 
     return run
