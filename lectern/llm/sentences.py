@@ -249,22 +249,29 @@ class Model:
         abbr = types.where("tok <> '' and tok <> '##' and w > 0").join(F.broadcast(totals), "lang")  # one row a language
         abbr = abbr.where((F.when(often, rare_score).otherwise(score) >= 0.3) & F.col("tok").rlike(r"\p{L}")).select("lang", "tok", "w")
         upper = counts.where("kind = 'upper'").groupBy("lang", F.col("a").alias("nxt")).agg(F.sum("n").alias("total"))
-        plain = counts.where("kind = 'period' and b <> '' and not startswith(b, '\0')").join(abbr.select("lang", F.col("tok").alias("a")), ["lang", "a"], "left_anti")
-        begins = plain.select("lang", F.col("b").alias("nxt"), "n").unionByName(counts.where("kind = 'sure' and b = 'upper'").select("lang", F.col("a").alias("nxt"), "n"))
-        begins = begins.groupBy("lang", "nxt").agg(F.sum("n").alias("begins")).join(upper, ["lang", "nxt"])
-        self.starters = begins.where("begins >= 3 and begins >= 0.3 * total and nxt <> ''").select("lang", "nxt")
+        sure = counts.where("kind = 'sure' and b = 'upper'").select("lang", F.col("a").alias("nxt"), "n")
         after = counts.where("kind in ('period', 'initial')").select("lang", F.col("a").alias("tok"), F.col("b").alias("nxt"), "n")
-        after = after.join(self.starters.withColumn("s", F.lit(1)), ["lang", "nxt"], "left")
-        opens = after.groupBy("lang", "tok").agg(n(F.col("s") == 1).alias("s"), F.sum("n").alias("m"), n(~F.startswith("nxt", F.lit("\0"))).alias("up"))
-        opens = opens.select("lang", "tok", (F.col("s") / F.col("m")).alias("start_share"), (F.col("up") / F.col("m")).alias("upper_share"))
-        self.abbreviations = abbr.select("lang", "tok", F.lit(True).alias("is_abbr")).join(opens, ["lang", "tok"], "left")
+
+        def begin(abbreviated: DataFrame, share: float) -> DataFrame:
+            plain = counts.where("kind = 'period' and b <> '' and not startswith(b, '\0')").join(abbreviated.select("lang", F.col("tok").alias("a")), ["lang", "a"], "left_anti")
+            begins = plain.select("lang", F.col("b").alias("nxt"), "n").unionByName(sure).groupBy("lang", "nxt").agg(F.sum("n").alias("begins")).join(upper, ["lang", "nxt"])
+            return begins.where((F.col("begins") >= 3) & (F.col("begins") >= share * F.col("total")) & (F.col("nxt") != "")).select("lang", "nxt")
+
+        def followers(starters: DataFrame) -> DataFrame:
+            opens = after.join(starters.withColumn("s", F.lit(1)), ["lang", "nxt"], "left").groupBy("lang", "tok").agg(n(F.col("s") == 1).alias("s"), F.sum("n").alias("m"))
+            return opens.select("lang", "tok", (F.col("s") / F.col("m")).alias("start_share"))
+
+        # what only sentence starters follow ends sentences, however rare it is elsewhere; both lists are learned twice
+        first = cut(abbr.join(followers(begin(abbr, 0.1)), ["lang", "tok"], "left").where("coalesce(start_share, 0) < 0.85").select("lang", "tok"))
+        self.starters = cut(begin(first, 0.3))
+        self.abbreviations = abbr.join(followers(self.starters), ["lang", "tok"], "left").where("coalesce(start_share, 0) < 0.85").select("lang", "tok", "start_share", F.lit(True).alias("is_abbr"))
         ordinal = counts.where("kind = 'number' and not startswith(b, '\0')").groupBy("lang", F.col("b").alias("nxt")).agg(F.sum("n").alias("k")).join(upper, ["lang", "nxt"])
         self.ordinals = ordinal.where("k >= 3 and k > 0.3 * total").join(self.starters, ["lang", "nxt"], "left_anti").select("lang", "nxt")
         lines = counts.where("kind = 'line'").groupBy("lang", F.col("a").alias("head")).agg(F.sum("n").alias("m"), n(F.col("b").isin("upper", "other", "mark")).alias("up"))
         self.heads = lines.where("m >= 3 and up >= 0.75 * m").select("lang", "head")
 
     def cut(self) -> Model:
-        for name in ("abbreviations", "starters", "ordinals", "heads"):
+        for name in ("abbreviations", "ordinals", "heads"):
             setattr(self, name, cut(getattr(self, name)))
         return self
 

@@ -38,7 +38,7 @@ def test_generated_english(spark):
 
 def test_parts():
     assert guess("Les scores des nids ont été lus.") == "fr" and guess("これはペンです。") == "ja" and guess("12") == "en"
-    assert inside('a "b. c" d (e. f) «g') == [(2, 7), (10, 15)]
+    assert inside('a "b. c" d (e. f) «g') == [(2, 7), (11, 16)]
     assert word_type("(Ver") == "ver" and word_type("12.5") == "##"
     assert [c[:2] for c in candidates("ก ข", "th")] == [(1, 2)]
     assert candidates("word " * 200_000, "en") == []
