@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import confusables, consensus, leakage, sentences, splits
+from lectern.llm import confusables, consensus, leakage, overlap, sentences, splits
+from lectern.llm.keys import corpus_key
 from lectern.session import cut, table
 
 
@@ -56,6 +57,26 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(table(spark, sf_dir, "documents"))
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> tuple:
+    ids = table(spark, sf_dir, "id_map")
+    return overlap.text_overlaps(table(spark, sf_dir, "texts"), ids), overlap.doi_overlaps(table(spark, sf_dir, "documents"), ids)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, dois = _overlaps(spark, sf_dir)
+    return overlap.ordered(texts, "text").unionByName(overlap.ordered(dois, "doi"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, dois = _overlaps(spark, sf_dir)
+    ids = table(spark, sf_dir, "id_map")
+    key = corpus_key(F.col("id")).alias("key")
+    origin = overlap.splits_of(ids).groupBy("key").agg(F.min("origin").alias("source"))
+    paragraphs = table(spark, sf_dir, "texts").select(F.col("text_id").alias("row"), key).distinct().join(origin, "key", "left")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), key, "source").distinct()
+    return overlap.report(texts.select("held_id", "train_id"), paragraphs, ids, "text").unionByName(overlap.report(dois, docs, ids, "doi"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "texts"))
 
@@ -68,5 +89,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks}
 SQL: dict[str, str] = {}
