@@ -6,7 +6,9 @@ hashes over five words the minimum is kept, in the order of rarity: a count sket
 common phrases last, so hot fingerprints are hardly ever chosen and the join stays near linear. Fingerprints of evaluation classes
 are joined to those of training classes at compatible lengths and places; seeds of a pair are counted and must form a chain of at
 least ``min_chain`` of the shorter list; the pair is then aligned in full (longest common subsequence), so what is reported is exact.
-Two texts that share a run of window + k - 1 words always meet.
+Two texts that share a run of window + k - 1 words always meet. Short texts, of which one word in five may differ and leave no run
+of five, are also fingerprinted by two words (three characters) in windows of three, which one text in five parts can't evade; texts
+near the border are in both lists, so that texts of compatible lengths always share one.
 
 Defined results: null texts and texts without words meet nothing; repeated rows count once; an id with several splits counts in
 each; texts shorter than five words have one fingerprint; texts of any length are read whole; other columns don't matter.
@@ -32,6 +34,7 @@ _word = re.compile(r"[^\W_]+")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 DENSE_LANGS = ("zh", "ja", "th")
 K, K_DENSE, WINDOW, SKETCH_BITS = 5, 10, 8, 20
+SHORT, SHORT_DENSE, K_SHORT, K_SHORT_DENSE, WINDOW_SHORT = 32, 60, 2, 3, 3
 
 
 def units(text: str, lang: str | None) -> list[str]:
@@ -76,8 +79,8 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["row", "key", "cls", "dense", "tokens"])
 
 
-def grams(tokens: np.ndarray, dense: int) -> np.ndarray:
-    k = min(K_DENSE if dense else K, len(tokens))
+def grams(tokens: np.ndarray, dense: int, short: bool = False) -> np.ndarray:
+    k = min((K_SHORT_DENSE if dense else K_SHORT) if short else K_DENSE if dense else K, len(tokens))
     h = _rolling(tokens.astype(np.int64).astype(np.uint64) + np.uint64(k), k)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
@@ -87,7 +90,8 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for pdf in batches:
         for t, d in zip(pdf["tokens"], pdf["dense"]):
-            total[np.unique(grams(np.asarray(t), d) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
+            for short in lists(len(t), d, 0.8):
+                total[np.unique(grams(np.asarray(t), d, short) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
     at = np.flatnonzero(total)
     yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
@@ -100,21 +104,28 @@ def rarity(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def winnow(tokens: np.ndarray, dense: int, level: np.ndarray, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def lists(n: int, dense: int, share: float) -> list[bool]:
+    """Whether a text of n words is in the list of longer and in that of short texts."""
+    border = SHORT_DENSE if dense else SHORT
+    return [x for x, there in ((False, n >= border * share), (True, n <= border / share)) if there]
+
+
+def winnow(tokens: np.ndarray, dense: int, level: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the rarest fingerprint of each window; ties by hash, then the first place."""
-    h = grams(tokens, dense)
+    h, w = grams(tokens, dense, short), WINDOW_SHORT if short else WINDOW
     order = (level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
     at = np.array([order.argmin()]) if len(h) <= w else np.unique(np.lib.stride_tricks.sliding_window_view(order, w).argmin(1) + np.arange(len(h) - w + 1))
     _, first = np.unique(h[at], return_index=True)
     return at[first], h[at[first]]
 
 
-def _prints(level: np.ndarray):
+def _prints(level: np.ndarray, share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp, rows, pos, of = [], [], [], []
             for r, (t, d) in enumerate(zip(pdf["tokens"], pdf["dense"])):
-                at, h = winnow(np.asarray(t), d, level)
+                both = [winnow(np.asarray(t), d, level, short) for short in lists(len(t), d, share)]
+                at, h = (np.concatenate(x) for x in zip(*both))
                 fp.append(h.astype(np.int64)), pos.append(at), rows.append(np.full(len(at), r)), of.append(np.full(len(at), len(at)))
             if fp:
                 i = np.concatenate(rows)
@@ -135,16 +146,16 @@ def _aligned(share: float):
     return run
 
 
-def near_classes(classes: DataFrame, share: float = 0.8, min_chain: float = 0.12) -> DataFrame:
+def near_classes(classes: DataFrame, share: float = 0.8, min_chain: float = 0.1) -> DataFrame:
     """a (holds evaluation rows), b (holds training rows), coverage. classes: c, tokens, dense, size, train, held."""
     level = rarity(classes)
-    prints = classes.select("c", "tokens", "dense", "size", "train", "held").mapInPandas(_prints(level), "fp bigint, c bigint, pos int, size int, of int, train boolean, held boolean")
+    prints = classes.select("c", "tokens", "dense", "size", "train", "held").mapInPandas(_prints(level, share), "fp bigint, c bigint, pos int, size int, of int, train boolean, held boolean")
     prints = cut(prints)
     side = lambda s, f: prints.where(f).select("fp", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "of")])
     longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
     seeds = side("a", "held").join(side("b", "train"), "fp").where((F.col("c_a") != F.col("c_b")) & (shorter >= share * longer) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= (1 - share) * longer * 1.25 + 1))
     pairs = seeds.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.count(F.lit(1)).alias("seeds"), F.min(F.least("of_a", "of_b")).alias("of"))
-    pairs = pairs.where((F.col("seeds") >= F.col("of") * min_chain) & ((F.col("seeds") >= 2) | (F.col("of") < 8))).select("a", "b")
+    pairs = pairs.where((F.col("seeds") >= F.col("of") * min_chain) & ((F.col("seeds") >= 2) | (F.col("of") < 16))).select("a", "b")
     tokens = classes.select("c", "tokens")
     both = pairs.join(tokens.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInPandas(_aligned(share), "a bigint, b bigint, coverage double")
