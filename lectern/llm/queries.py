@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import confusables, consensus, leakage, overlap, sentences, splits
+from lectern.llm import confusables, consensus, leakage, overlap, sentences, splits, truncation
 from lectern.llm.keys import corpus_key
 from lectern.session import cut, table
 
@@ -89,5 +89,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents")).where("cut").select("doc_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.report(truncation.truncated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {}
