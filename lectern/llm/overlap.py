@@ -33,7 +33,7 @@ from lectern.session import cut
 _word = re.compile(r"[^\W_]+")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 DENSE_LANGS = ("zh", "ja", "th")
-K, K_DENSE, WINDOW, SKETCH_BITS = 5, 10, 8, 20
+K, K_DENSE, WINDOW, SKETCH_BITS = 5, 10, 8, 18
 SHORT, SHORT_DENSE, K_SHORT, K_SHORT_DENSE, WINDOW_SHORT = 32, 60, 2, 3, 3
 
 
@@ -98,9 +98,12 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def rarity(classes: DataFrame) -> np.ndarray:
     """log2 of the counts of 2^SKETCH_BITS buckets of fingerprints: one byte each, whatever the corpus."""
-    n = classes.select("tokens", "dense").mapInPandas(_sketch, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = classes.select("tokens", "dense").mapInPandas(_sketch, "bucket int, n bigint").groupBy("bucket").agg(F.ceil(F.log2(F.sum("n") + 1)).cast("int").alias("n"))
+    block = n.groupBy((F.col("bucket") / 1024).cast("int").alias("b")).agg(F.collect_list(F.struct(F.col("bucket"), F.col("n"))).alias("x"))
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    out[n["bucket"].to_numpy(np.int64)] = np.ceil(np.log2(n["n"].to_numpy(float) + 1)).astype(np.uint8)
+    for row in block.toLocalIterator():  # 2^SKETCH_BITS / 1024 rows
+        for bucket, level in row.x:
+            out[bucket] = level
     return out
 
 
