@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import confusables, consensus, leakage, overlap, sentences, splits, truncation
+from lectern.llm import confusables, consensus, leakage, overlap, packing, sentences, splits, truncation
 from lectern.llm.keys import corpus_key
 from lectern.session import cut, table
 
@@ -81,6 +81,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "texts"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> tuple:
+    targets = table(spark, sf_dir, "packing_targets").where("capacity_tokens > 0").select("target_id", "capacity_tokens").distinct().limit(packing.MAX_TARGETS + 1)
+    targets = sorted(map(tuple, targets.collect()))  # pack() refuses more than MAX_TARGETS
+    return packing.pack(table(spark, sf_dir, "documents"), targets), targets
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir)[0]
+
+
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(*_packed(spark, sf_dir))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "holdout_items"))
 
@@ -97,5 +111,5 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(truncation.truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p7_packing": p7_packing, "p7_summary": p7_summary, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {}
