@@ -36,9 +36,10 @@ def term_frequency(hits: DataFrame, doc: str) -> DataFrame:
     return hits.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def inverse_frequency(tf: DataFrame, n_docs: Column, doc: str) -> DataFrame:
-    """term, df, idf = ln(N / df)."""
-    return tf.groupBy("term").agg(F.countDistinct(doc).alias("df")).select("term", "df", F.log(n_docs / F.col("df")).alias("idf"))
+def inverse_frequency(tf: DataFrame, n_docs: DataFrame, doc: str) -> DataFrame:
+    """term, df, idf = ln(N / df). n_docs: one row with the number of documents."""
+    df = tf.groupBy("term").agg(F.countDistinct(doc).alias("df"))
+    return df.join(F.broadcast(n_docs)).select("term", "df", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
 
 
 def keep_term(freq: Column, idf: Column, length: Column, term: Column, threshold: float = 0.001, single: str = "R") -> Column:
