@@ -18,19 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.tokens import tokenize
-from lectern.session import cut
+from lectern.functions.tokens import count_tokens, tokenize
+from lectern.session import cut_table
 
 MAX_TARGETS = 1000
 
 
 def measured(docs: DataFrame, smallest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_loss, marks: one mark a token, 1 if it bears loss (isn't white space), kept only for texts that may be split."""
-    t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0).select("doc_id", tokenize(F.col("text")).alias("t"))
-    marks = F.array_join(F.transform("t", lambda x: F.when(F.trim(F.translate(x, "\n\r\t ", "    ")) == "", "0").otherwise("1")), "")
-    m = t.select("doc_id", marks.alias("marks"))
-    loss = F.length(F.replace("marks", F.lit("0"), F.lit("")))
-    return m.select("doc_id", F.length("marks").alias("n_tokens"), loss.alias("n_loss"), F.when(F.length("marks") > smallest, F.col("marks")).alias("marks")).dropDuplicates(["doc_id"])
+    t = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    t = t.withColumn("n_tokens", count_tokens(F.col("text")))
+    blanks = F.length("text") - F.length(F.translate("text", " \n\r\t", ""))
+    marks = F.array_join(F.transform(tokenize(F.col("text")), lambda x: F.when(x.isin(" ", "\n", "\r", "\t"), "0").otherwise("1")), "")
+    return t.select("doc_id", "n_tokens", (F.col("n_tokens") - blanks).alias("n_loss"), F.when(F.col("n_tokens") > smallest, marks).alias("marks")).dropDuplicates(["doc_id"])
 
 
 def items(m: DataFrame, targets: list[tuple[int, int]]) -> DataFrame:
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, targets: list[tuple[int, int]], max_segments: int = 32
     """target_id, container_id, slot, doc_id, part_no, token_start, n_tokens."""
     if not 0 < len(targets) <= MAX_TARGETS:
         raise ValueError(f"give 1 to {MAX_TARGETS} targets")
-    m = cut(measured(docs, min(c for _, c in targets)))
+    m = cut_table(measured(docs, min(c for _, c in targets)))
     n = items(m, targets).groupBy("target_id").count()
     groups = {r["target_id"]: max(1, math.ceil(r["count"] / group_size)) for r in n.collect()}  # a row a target
     if not groups:
