@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lectern.llm.confusables import skeleton
 from lectern.llm.keys import corpus_key, doi_key
 from lectern.llm.leakage import _rolling
-from lectern.session import cut
+from lectern.session import cut_table
 
 _word = re.compile(r"[^\W_]+")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
@@ -153,7 +153,7 @@ def near_classes(classes: DataFrame, share: float = 0.8, min_chain: float = 0.1)
     """a (holds evaluation rows), b (holds training rows), coverage. classes: c, tokens, dense, size, train, held."""
     level = rarity(classes)
     prints = classes.select("c", "tokens", "dense", "size", "train", "held").mapInPandas(_prints(level, share), "fp bigint, c bigint, pos int, size int, of int, train boolean, held boolean")
-    prints = cut(prints)
+    prints = cut_table(prints)
     side = lambda s, f: prints.where(f).select("fp", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "of")])
     longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
     seeds = side("a", "held").join(side("b", "train"), "fp").where((F.col("c_a") != F.col("c_b")) & (shorter >= share * longer) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= (1 - share) * longer * 1.25 + 1))
@@ -175,10 +175,10 @@ def text_overlaps(texts: DataFrame, id_map: DataFrame, share: float = 0.8) -> Da
     src = texts.select(F.col("text_id").cast("bigint").alias("row"), corpus_key(F.col("id")).alias("key"), "text", F.lower(F.trim("lang")).alias("lang")).where("text is not null and key is not null and row is not null")
     rows = src.mapInPandas(_sequences, "row bigint, key string, cls string, dense int, tokens array<int>")
     side = splits_of(id_map).groupBy("key").agg(F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("train"))
-    rows = cut(rows.join(side, "key").withColumn("c", F.xxhash64("cls")))
+    rows = cut_table(rows.join(side, "key").withColumn("c", F.xxhash64("cls")))
     members = rows.select("row", "c", "held", "train").distinct()
     classes = rows.groupBy("c").agg(F.first("tokens").alias("tokens"), F.first("dense").alias("dense"), F.size(F.first("tokens")).alias("size"), F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
-    near = near_classes(cut(classes), share)
+    near = near_classes(cut_table(classes), share)
     same = members.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("coverage")).distinct()
     links = near.unionByName(same)
     held = members.where("held").select(F.col("row").alias("held_id"), F.col("c").alias("a"))
