@@ -18,9 +18,9 @@ def chunks(tokens: DataFrame, keys: list[str], iob: str = "iob", order: str = "p
     w = Window.partitionBy(*keys).orderBy(order)
     label = F.regexp_replace(iob, "^I-", "")
     starts = F.when(F.col(iob).startswith("I-") | ~label.eqNullSafe(F.lag(label).over(w)), 1).otherwise(0)
-    t = tokens.select(*keys, F.col(order).alias("at"), label.alias("label"), starts.alias("s"))
-    t = t.withColumn("island", F.sum("s").over(Window.partitionBy(*keys).orderBy("at")))
-    return t.where("label <> '<other>'").groupBy(*keys, "island", "label").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("island")
+    t = tokens.select(*keys, F.col(order).alias("_at"), label.alias("label"), starts.alias("_begins"))
+    t = t.withColumn("_island", F.sum("_begins").over(Window.partitionBy(*keys).orderBy("_at")))
+    return t.where("label <> '<other>'").groupBy(*keys, "_island", "label").agg(F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_island")
 
 
 def prf(gold: DataFrame, found: DataFrame, on: list[str], by: str) -> DataFrame:

@@ -11,7 +11,7 @@ NULL_WORDS = ("NA", "N/A", "No Label", "none", "None", "")
 
 def texts(spark: SparkSession, path: str, glob: str = "*.[tT][xX][tT]", recursive: bool = True) -> DataFrame:
     """One row per file: path, text with line breaks and tabs as blanks; blank files give null."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path)
+    df = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
     clean = F.translate("value", "\n\t", "  ")
     return df.select(F.input_file_name().alias("path"), F.when(F.trim(clean) != "", clean).alias("text"))
 

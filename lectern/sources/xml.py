@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _doctype = re.compile(r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?>")
 ID = "{http://www.w3.org/XML/1998/namespace}id"
@@ -62,7 +63,7 @@ def paragraph(e: ET.Element) -> tuple[str, str, list[tuple]]:
 
 
 def _rows(df: DataFrame, doc: str, xml: str, make: Callable, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -156,7 +157,7 @@ def inline_annotations(df: DataFrame, doc: str = "doc_id", xml: str = "xml", cle
                 t = re.sub(r"\s+", " ", t) if cleaned else t
                 if child is not None and tag(child) == "rs":
                     kind = {"publisher": "creator"}.get(child.get("type", ""), child.get("type", ""))
-                    spans.append({"type": kind, "start": at, "end": at + len(t), "raw": t, "id": child.get(ID), "corresp": child.get("corresp"), "attributes": [(k.rsplit("}", 1)[-1], v) for k, v in child.attrib.items()]})
+                    spans.append({"type": kind, "start": at, "end": at + len(t), "raw": t, "id": child.get(ID), "corresp": child.get("corresp"), "attributes": {k.rsplit("}", 1)[-1]: v for k, v in child.attrib.items()}})
                 text.append(t)
                 at += len(t)
             yield no, "".join(text), spans
