@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,15 @@ def cut_table(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session: they may run elsewhere, or in another directory."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_lectern_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        at = tempfile.mkdtemp(prefix="lectern-package-")
+        shutil.copytree(root / "lectern", f"{at}/src/lectern", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{at}/lectern", "zip", f"{at}/src"))
+        shutil.rmtree(f"{at}/src")
+        sc._lectern_shipped = True
