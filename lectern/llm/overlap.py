@@ -7,8 +7,8 @@ common phrases last, so hot fingerprints are hardly ever chosen and the join sta
 are joined to those of training classes at compatible lengths and places; seeds of a pair are counted and must form a chain of at
 least ``min_chain`` of the shorter list; the pair is then aligned in full (longest common subsequence), so what is reported is exact.
 Two texts that share a run of window + k - 1 words always meet. Short texts, of which one word in five may differ and leave no run
-of five, are also fingerprinted by two words (three characters) in windows of three, which one text in five parts can't evade; texts
-near the border are in both lists, so that texts of compatible lengths always share one.
+of five, are also fingerprinted by two words (three characters) in windows of three, so that a common run of four words suffices; texts
+near the border are in both lists, so that texts of compatible lengths always have a list in common.
 
 Defined results: null texts and texts without words meet nothing; repeated rows count once; an id with several splits counts in
 each; texts shorter than five words have one fingerprint; texts of any length are read whole; other columns don't matter.
