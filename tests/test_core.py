@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import lectern.plans.core_queries as core
+import lectern.plans.more_queries as core
 from lectern.functions import normalize
 from lectern.functions.tokens import FAST, PATTERN, offsets, tokenize
 from lectern.operators import spans
@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(core.QUERIES))
+@pytest.mark.parametrize("name", sorted(core.SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
