@@ -8,6 +8,10 @@ Windows that meet on one diagonal are chained; a pair with enough of them is ali
 themselves again: that is the slot check, which tells a leaked passage from a sentence of the same build. ``slots_equal`` is the
 share of numbers in the passage that agree, so re-parameterised copies show as high template coverage with few equal slots.
 
+An item's windows have the length of its own script; a document is searched for the windows of both lengths, whatever its script is,
+so a passage is found in a document mostly of another script too. Only documents without a character of the scripts without spaces
+are not searched for the short windows, and only if no item could reach its least count of windows without such characters.
+
 Defined results: null and empty texts hold nothing; repeated rows count once; a document of any length is read whole.
 """
 
@@ -103,6 +107,7 @@ class Items:
         self.ids = [r[0] for r in rows]
         self.plain = [plain_stream(r[1]) for r in rows]
         self.tables = {}
+        self.spaced = np.zeros(len(rows), np.int64)  # windows of dense items without a dense character
         templates = [template_stream(r[1]) for r in rows]
         self.length = [len(t) for t in templates]
         self.count = np.zeros(len(rows), np.int64)
@@ -112,6 +117,7 @@ class Items:
                 if is_dense(t) == dense:
                     at, h = window_minima(_codes(t), k)
                     self.count[i] = len(at)
+                    self.spaced[i] = sum(not _dense.search(t[a : a + k]) for a in at) if dense else 0
                     hs.append(h), its.append(np.full(len(at), i)), ats.append(at)
             h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
             order = np.argsort(h, kind="stable")
@@ -189,6 +195,9 @@ def _numbers(s: str) -> list[str]:
 
 
 def scan(items: Items, min_cover: float, min_share: float):
+    least = np.maximum(1, np.ceil(min_share * items.count))
+    anywhere = bool((items.spaced >= least).any())
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -196,10 +205,10 @@ def scan(items: Items, min_cover: float, min_share: float):
                 part = pdf.iloc[start : start + 128]
                 texts = list(part["text"])
                 templates = [template_stream(t) for t in texts]
-                dense = np.array([is_dense(t) for t in templates])
+                dense = [anywhere or bool(_dense.search(t)) for t in templates]
                 for kind, k in ((False, K), (True, K_DENSE)):
                     table, its, ats = items.tables[kind]
-                    own = [r for r in np.flatnonzero(dense == kind) if len(templates[r]) >= k]
+                    own = [r for r, t in enumerate(templates) if len(t) >= k and (dense[r] or not kind)]
                     if not own or not len(table):
                         continue
                     # one stream; each document ends with k characters found nowhere else, so no window spans two
@@ -215,7 +224,7 @@ def scan(items: Items, min_cover: float, min_share: float):
                     entry = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     which = np.searchsorted(base, pos, "right") - 1
                     it, n_items = its[entry], len(items.ids)
-                    need = np.maximum(1, np.ceil(min_share * items.count[it]))
+                    need = least[it]
                     seen, plains = {}, {}
                     for pair, n, x, y in chain(ats[entry], pos - base[which], which * n_items + it, need):
                         w, i = divmod(pair, n_items)

@@ -45,3 +45,22 @@ def test_against_planted_passages(spark):
     in_blocks = {(r.item_id, r.doc_id) for r in leaks(docs, held, max_windows=3000).collect()}
     assert in_blocks == want
     assert leaks(docs, held.where("item_id < 0")).count() == 0 and leaks(docs.where("doc_id < 0"), held).count() == 0
+
+
+def test_mixed_scripts(spark):
+    dense = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+    mixed = " ".join(dense(4) + " " + rng.choice(WORDS) for _ in range(30))
+    items = [(0, text(60)), (1, dense(150)), (2, mixed)]
+    docs = [(0, dense(2000) + "\n" + items[0][1] + "\n" + dense(2000)), (1, text(400) + "\n" + items[1][1] + "\n" + text(400)), (2, text(300) + "\n" + mixed + "\n" + text(300)), (3, dense(2000) + mixed + dense(2000)), (4, dense(900)), (5, text(300))]
+    held = spark.createDataFrame(items, "item_id int, text string")
+    got = leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), held)
+    assert {(r.item_id, r.doc_id) for r in got.where("coverage > 0.95").collect()} == {(0, 0), (1, 1), (2, 2), (2, 3)} == {(r.item_id, r.doc_id) for r in got.collect()}
+    assert leaks(spark.createDataFrame(docs[:1], "doc_id bigint, text string"), held.where("item_id > 0")).count() == 0
+
+
+def test_words_of_a_dense_item_alone(spark):
+    """The words of an item of a script without spaces, in a document without one of its characters."""
+    words = text(14)
+    item = words + "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(60))
+    docs = spark.createDataFrame([(1, text(200) + " " + words + " " + text(200)), (2, text(400))], "doc_id bigint, text string")
+    assert [r.doc_id for r in leaks(docs, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()] == [1]
