@@ -1,4 +1,4 @@
-"""Token features and context windows."""
+"""Token features and context windows. Letters, digits and marks are those of all scripts."""
 
 from __future__ import annotations
 
@@ -7,28 +7,28 @@ from pyspark.sql import functions as F
 
 
 def case_class(t: Column) -> Column:
-    return F.when(t.rlike("^[0-9]+$"), "NOCAPS").when(t.rlike("[A-Z]") & ~t.rlike("[^A-Z0-9]"), "ALLCAP").when(t.rlike("^[A-Z]"), "INITCAP").otherwise("NOCAPS")
+    return F.when(t.rlike(r"\p{Lu}") & ~t.rlike(r"[^\p{Lu}\p{M}\p{Nd}]"), "ALLCAP").when(t.rlike(r"^\p{Lu}"), "INITCAP").otherwise("NOCAPS")
 
 
 def digit_class(t: Column) -> Column:
-    return F.when(t.rlike("^[0-9]+$"), "ALLDIGIT").when(t.rlike("[0-9]"), "CONTAINDIGIT").otherwise("NODIGIT")
+    return F.when(t.rlike(r"^\p{Nd}+$"), "ALLDIGIT").when(t.rlike(r"\p{Nd}"), "CONTAINDIGIT").otherwise("NODIGIT")
 
 
 def punctuation_class(t: Column) -> Column:
     return (
-        F.when(t.isin("(", "["), "OPENBRACKET")
-        .when(t.isin(")", "]"), "ENDBRACKET")
+        F.when(t.isin("(", "[", "（"), "OPENBRACKET")
+        .when(t.isin(")", "]", "）"), "ENDBRACKET")
         .when(t == ".", "DOT")
         .when(t == ",", "COMMA")
         .when(t == "-", "HYPHEN")
-        .when(t.isin('"', "'", "`"), "QUOTE")
-        .when(t.rlike(r"^[^A-Za-z0-9\x{80}-\x{10FFFF}]+$"), "PUNCT")
+        .when(t.isin('"', "'", "`", *"“”„‘’«»"), "QUOTE")
+        .when(t.rlike(r"^[^\p{L}\p{M}\p{N}]+$"), "PUNCT")
         .otherwise("NOPUNCT")
     )
 
 
 def shape(t: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[A-Z]", "X"), "[a-z]", "x"), "[0-9]", "d")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\p{Lu}", "X"), r"\p{Ll}", "x"), r"\p{Nd}", "d")
 
 
 def squeezed(s: Column) -> Column:
@@ -43,7 +43,7 @@ def feature_row(token: Column) -> list[Column]:
     affixes = [F.left(t, F.lit(i)).alias(f"prefix{i}") for i in range(1, 6)] + [F.right(t, F.lit(i)).alias(f"suffix{i}") for i in range(1, 6)]
     return [
         t.alias("token"), F.lower(t).alias("lower"), *affixes, case_class(t).alias("caps"), digit_class(t).alias("digits"), (F.length(t) == 1).alias("single"),
-        punctuation_class(t).alias("punct"), F.regexp_replace(t, "[0-9]", "0").alias("shadow"), shape(t).alias("shape"), squeezed(shape(t)).alias("trimmed_shape"),
+        punctuation_class(t).alias("punct"), F.regexp_replace(t, r"\p{Nd}", "0").alias("shadow"), shape(t).alias("shape"), squeezed(shape(t)).alias("trimmed_shape"),
     ]
 
 

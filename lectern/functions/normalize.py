@@ -10,11 +10,12 @@ FIELD_MARKS = "()[]{},;.:\"'"
 VERSION_HEAD = r"^(?i:version(s)?|ver-sion(s)?|ver|v|release(s)?|build)\s?\.?\s?"
 VERSION_TAIL = r"(?i:version(s)?|ver|release(s)?)$"
 COMPANY = r"(?i:inc|corp|corporation|ltd|llc|gmbh|ag|s\.a|co)"
+WORD_CHAR = r"[\p{L}\p{M}\p{N}_]"  # of any script: \b knows other letters in some Java versions only
 
 
 def squeeze(c: Column) -> Column:
-    """White space to single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " "))
+    """White space, the no-break and wide kinds too, to single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"[\s\x{85}\p{Z}]+", " "))
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -36,7 +37,7 @@ def url(c: Column) -> Column:
 def creator(c: Column) -> Column:
     """Cut after the first company suffix that is a word."""
     t = strip_chars(squeeze(c), "()[],; ")
-    head = F.regexp_extract(t, rf"^(.*?\b{COMPANY}\b\.?)", 1)
+    head = F.regexp_extract(t, rf"^(.*?(?<!{WORD_CHAR}){COMPANY}(?!{WORD_CHAR})\.?)", 1)
     return F.when(head != "", head).otherwise(t)
 
 
@@ -59,7 +60,7 @@ def clean_value(c: Column) -> Column:
 
 
 def split_camel(c: Column) -> Column:
-    return F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")
+    return F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2")
 
 
 def strip_markup(c: Column) -> Column:

@@ -79,6 +79,13 @@ def token_features(t):
     return d.select(*features.feature_row(F.col("t")))
 
 
+@query()
+def token_features_all(t):
+    """Of all tokens but white space, in any script; token_features has the part that the SQL can tell."""
+    d = _texts(t).select(F.explode(tokenize(F.col("text"))).alias("t")).where(~F.col("t").rlike(r"^[\s\x{85}\p{Z}]+$")).distinct()
+    return d.select(*features.feature_row(F.col("t")))
+
+
 @query(f"WITH {TEXTS}, {TOKENS}, o AS (SELECT text_id, i - 1 AS pos, tokens[i] AS token FROM tp) SELECT text_id, pos, token, " + ", ".join(f"lag(token, {k}) OVER w AS m{k}, lead(token, {k}) OVER w AS p{k}" for k in range(1, 5)) + ", concat_ws('|', lag(token) OVER w, token) AS bigram_left, concat_ws('|', token, lead(token) OVER w) AS bigram_right FROM o WINDOW w AS (PARTITION BY text_id ORDER BY pos)")
 def context_window_features(t):
     tokens = _texts(t).select("text_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
@@ -117,6 +124,34 @@ def normalize_name(t):
     return _raw(t, "software").select("raw_form", normalize.software_name(c).alias("normalized"), normalize.simplified(c).alias("simple"), normalize.simplified_letters(c).alias("letters"), normalize.split_camel(c).alias("words"), normalize.stable_key(c).alias("key"))
 
 
+# the same of all raw forms, of any characters, empty ones and null: the queries above have the part that their SQL can tell
+
+
+def _forms(t, kind: str) -> DataFrame:
+    return t("entity_spans").where(F.col("entity_type") == kind).select("raw_form").distinct()
+
+
+@query()
+def normalize_version_all(t):
+    return _forms(t, "version").select("raw_form", normalize.version(F.col("raw_form")).alias("normalized"))
+
+
+@query()
+def normalize_creator_all(t):
+    return _forms(t, "publisher").select("raw_form", normalize.creator(F.col("raw_form")).alias("normalized"))
+
+
+@query()
+def normalize_url_all(t):
+    return _forms(t, "url").select("raw_form", normalize.url(F.col("raw_form")).alias("normalized"))
+
+
+@query()
+def normalize_name_all(t):
+    c = F.col("raw_form")
+    return _forms(t, "software").select("raw_form", normalize.software_name(c).alias("normalized"), normalize.simplified(c).alias("simple"), normalize.simplified_letters(c).alias("letters"), normalize.split_camel(c).alias("words"), normalize.stable_key(c).alias("key"))
+
+
 @query(f"WITH {TEXTS}, g AS (SELECT lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS signature, count(*) AS n, min(text_id) AS first_id FROM t GROUP BY 1) SELECT md5(signature) AS signature, n, first_id FROM g WHERE n > 1")
 def signature_copies(t):
     g = _texts(t).groupBy(F.md5(normalize.simplified(F.col("text"))).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("first_id"))
@@ -326,6 +361,13 @@ def ambiguous_terms(t):
     return g.where("size(s) > 1").select("text", F.array_join(F.array_sort("s"), ",").alias("types"), "n")
 
 
+@query()
+def ambiguous_terms_all(t):
+    """Of all raw forms, of any characters."""
+    g = _spans(t).where("raw_form is not null").groupBy(F.lower("raw_form").alias("text")).agg(F.collect_set("entity_type").alias("s"), F.count(F.lit(1)).alias("n"))
+    return g.where("size(s) > 1").select("text", F.array_join(F.array_sort("s"), ",").alias("types"), "n")
+
+
 @query(f"WITH {TEXTS}, {SPANS}, c AS (SELECT t.id, count(*) AS n FROM s JOIN t USING (text_id) GROUP BY 1), b AS (SELECT n, count(*) AS m FROM c GROUP BY 1), u AS (SELECT n, sum(m) OVER (ORDER BY n) / sum(m) OVER () AS upto FROM b) SELECT c.id, c.n, CAST(least(floor(upto * 5), 4) AS BIGINT) AS band, CAST('0x' || substr(md5(c.id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 AS held_out FROM c JOIN u USING (n)")
 def holdout_split(t):
     c = _spans(t).join(_texts(t).select("text_id", "id"), "text_id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))

@@ -24,6 +24,12 @@ def mention_json(t):
     return s.select("span_id", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
 
 
+@query()
+def mention_json_all(t):
+    """Of all spans, of any characters; missing parts are left out."""
+    return _spans(t).select("span_id", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
+
+
 @query()
 def mention_envelopes(t):
     s = _spans(t).where("entity_type = 'software'").select("text_id", "start_pos", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
