@@ -209,6 +209,23 @@ def propagated_hits(t):
     return gated.join(busy, (F.col("text_id") == F.col("tid")) & (F.col("start") < F.col("end_pos")) & (F.col("start_pos") < F.col("end")), "left_anti")
 
 
+def _known_names(t) -> DataFrame:
+    """id, term: the names annotated in each document, as they stand there and normalised."""
+    s = _spans(t).where("entity_type = 'software'").join(_texts(t).select("text_id", "id"), "text_id")
+    forms = F.array("raw_form", normalize.software_name(F.col("raw_form")))
+    return s.select("id", F.explode(forms).alias("term")).where("term <> ''").distinct()
+
+
+@query()
+def propagated_names(t):
+    """All names known in a document, over the whole document, gated by tf x idf; propagated_hits has the fixed dictionary only."""
+    texts, known = _texts(t), _known_names(t)
+    everywhere = match.dictionary_hits(texts, match.lexicon(known, "term"), ("id", "text_id"))
+    idf = match.inverse_frequency(match.term_frequency(everywhere, "id"), texts.select(F.countDistinct("id").alias("n_docs")), "id")
+    taken = _spans(t).where("entity_type = 'software'").select("text_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end")).distinct()
+    return match.propagate(texts.select("id", "text_id", "text"), known, taken, "id", "text_id", idf)
+
+
 @query(f"""{BASE}, s AS (SELECT text_id, term, CAST(start AS INT) AS a, CAST(start + length(term) AS INT) AS b FROM hits), g AS (SELECT text_id, list_sort(list({{'a': a, 'e': -b, 'term': term}})) AS l FROM s GROUP BY 1),
 f AS (SELECT text_id, list_reduce(list_prepend([{{'a': -1, 'b': -1, 'term': ''}}], list_transform(l, lambda x: [{{'a': x.a, 'b': -x.e, 'term': x.term}}])), lambda acc, x: CASE WHEN x[1].a >= acc[len(acc)].b THEN list_concat(acc, x) ELSE acc END) AS kept FROM g)
 SELECT text_id, CAST(u.a AS BIGINT) AS start, CAST(u.b AS BIGINT) AS "end", u.term AS term FROM (SELECT text_id, unnest(kept) AS u FROM f) WHERE u.a >= 0""")

@@ -61,3 +61,24 @@ def test_ambiguous_terms_and_json_of_all_spans(spark, tables):
     got = {r.span_id: json.loads(r.json) for r in core.QUERIES["mention_json_all"](spark, tables[0]).collect()}
     name = lambda f, a, b: {"offsetStart": a, "offsetEnd": b} | ({} if f is None else {"rawForm": f})
     assert got == {s: {"software-type": k, "software-name": name(f, a, b)} for _, s, k, f, a, b in tables[1]}
+
+
+def test_every_annotated_name_is_propagated(spark, tmp_path):
+    """Names outside the dictionary, and normal forms, in all texts of their document; a brute force over the same tables."""
+    text = {("a1", "a"): "We ran Ξenostat and (Quor). R too.", ("a2", "a"): "Ξenostat, then Quor; Ξenostat R x.", ("b1", "b"): "Ξenostat was not annotated here, Quor Tools was.", ("b2", "b"): "Quor Tools and Quor", ("c1", "c"): "Nothing."}
+    marks = [("a1", "Ξenostat"), ("a1", "(Quor)"), ("a1", "R"), ("a2", "x"), ("b1", "Quor Tools"), ("c1", None)]
+    spans = [(t, f"s{i}", "software", f, *((b := next(v for k, v in text.items() if k[0] == t).index(f)), b + len(f))) if f else (t, f"s{i}", "software", None, 0, 1) for i, (t, f) in enumerate(marks)]
+    spark.createDataFrame(spans, "text_id string, span_id string, entity_type string, raw_form string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/entity_spans.parquet")
+    spark.createDataFrame([(k, d, 0, v, "en") for (k, d), v in text.items()], "text_id string, id string, para_no int, text string, lang string").write.parquet(f"{tmp_path}/texts.parquet")
+    got = {tuple(r[c] for c in ("id", "text_id", "start", "end", "term")) for r in core.QUERIES["propagated_names"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "a2", 0, 8, "Ξenostat"), ("a", "a2", 15, 19, "Quor"), ("a", "a2", 21, 29, "Ξenostat"), ("a", "a2", 30, 31, "R"), ("b", "b2", 0, 10, "Quor Tools")}
+
+
+def test_frequent_names_pass_the_gate_by_real_weights(spark, tmp_path):
+    """ln(N / df) is 0.00033 here, so two mentions weigh too little and four weigh enough."""
+    texts = [(f"t{i}", f"d{i}", 0, "Cmn", "en") for i in range(2999)] + [("one", "d0", 1, "Cmn", "en"), *[(f"two{k}", "d1", k + 1, "Cmn", "en") for k in range(3)], ("none", "last", 0, "x", "en")]
+    spark.createDataFrame(texts, "text_id string, id string, para_no int, text string, lang string").write.parquet(f"{tmp_path}/texts.parquet")
+    spans = [(t, t, "software", "Cmn", 0, 3) for t in ("t0", "t1", "t2")] + [("t2", "x", "software", "Cmn", 0, 3)]
+    spark.createDataFrame(spans, "text_id string, span_id string, entity_type string, raw_form string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/entity_spans.parquet")
+    got = {r.text_id for r in core.QUERIES["propagated_names"](spark, str(tmp_path)).collect()}
+    assert got == {"two0", "two1", "two2"}
