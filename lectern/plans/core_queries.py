@@ -372,6 +372,15 @@ def pivot_codes(t):
     return g
 
 
+@query()
+def pivot_codes_all(t):
+    """The last given code of every annotator of the fixed annotators table; pivot_codes has three of them."""
+    name = lambda c: F.lower(F.replace(F.replace(c, F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))
+    names = sorted(r[0] for r in t("annotators").where("resp is not null").select(name("resp")).distinct().collect())
+    rows = t("usage_labels").withColumn("who", F.when(F.col("used").isNotNull(), name("resp")))
+    return corpus.pivot_last(rows, "span_id", "who", "used", ["labelled_at", "label_id"], names)
+
+
 @query("SELECT lower(raw_form) AS text, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS types, count(*) AS n FROM (SELECT DISTINCT * FROM entity_spans) WHERE regexp_full_match(raw_form, '[\\x20-\\x7E]+') GROUP BY 1 HAVING count(DISTINCT entity_type) > 1")
 def ambiguous_terms(t):
     g = _spans(t).where(F.col("raw_form").rlike(r"^[\x20-\x7E]+$")).groupBy(F.lower("raw_form").alias("text")).agg(F.collect_set("entity_type").alias("s"), F.count(F.lit(1)).alias("n"))

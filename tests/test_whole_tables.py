@@ -82,3 +82,15 @@ def test_frequent_names_pass_the_gate_by_real_weights(spark, tmp_path):
     spark.createDataFrame(spans, "text_id string, span_id string, entity_type string, raw_form string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/entity_spans.parquet")
     got = {r.text_id for r in core.QUERIES["propagated_names"](spark, str(tmp_path)).collect()}
     assert got == {"two0", "two1", "two2"}
+
+
+def test_codes_of_all_annotators(spark, tmp_path):
+    labels = [(i, f"s{i % 3}", [" #ANNOTATOR", "annotator", "#annotator"][i % 3] + str(i % 5), [None, "true", "no"][i % 7 % 3], i * 37 % 11) for i in range(60)] + [(99, "s9", "annotator1", None, 1)]
+    spark.createDataFrame([(f"annotator{i}",) for i in range(6)] + [("curator",)], "resp string").write.parquet(f"{tmp_path}/annotators.parquet")
+    spark.createDataFrame(labels, "label_id bigint, span_id string, resp string, used string, labelled_at int").write.parquet(f"{tmp_path}/usage_labels.parquet")
+    want = {s: {} for _, s, *_ in labels}
+    for i, s, who, used, at in sorted(labels, key=lambda x: (x[4], x[0])):
+        if used is not None:
+            want[s][who.strip(" #").lower()] = used
+    got = {r.span_id: {k: v for k, v in r.asDict().items() if k != "span_id"} for r in core.QUERIES["pivot_codes_all"](spark, str(tmp_path)).collect()}
+    assert got == {s: {k: w.get(k) for k in [f"annotator{i}" for i in range(6)] + ["curator"]} for s, w in want.items()}
