@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.match import small
 from lectern.session import cut
 
 # fixed values: what is put after a cut, and titles that stand before names
@@ -124,6 +125,22 @@ def limits(t: DataFrame, least: int = 4, sigmas: float = 6.0, around: int = 20)
     return n.withColumn("near", near).where((F.col("m") >= least) & (F.col("m") >= mean + sigmas * F.sqrt(mean + 1))).select("source", "n")
 
 
+def headings(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """line, heading: of the last lines asked for, whether each is a heading rather than the start of a line that was cut.
+
+    A heading stands in at least two surroundings (copies of one text are one) and text follows it at least as often as it ends a
+    text, or else no other line begins with it."""
+    own = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    at = docs.select(own.alias("l")).select(F.explode(F.expr("transform(l, (x, i) -> named_struct('line', x, 'before', xxhash64(get(l, if(i > 0, i - 1, 1))), 'last', i = size(l) - 1))")).alias("x"))
+    at = at.select("x.*")
+    places = at.where("length(line) <= 80").join(lines, "line", "left_semi").distinct()
+    n = places.groupBy("line").agg(F.countDistinct("before").alias("seen"), F.sum((~F.col("last")).cast("int")).alias("followed"), F.sum(F.col("last").cast("int")).alias("ends"))
+    n = cut(n.where("seen >= 2"))
+    doubtful = n.where("followed < ends").select(F.col("line").alias("start"), F.left("line", F.lit(1)).alias("c"))
+    begun = at.where("not last").select("line", F.left("line", F.lit(1)).alias("c")).join(small(doubtful), "c").where("startswith(line, start) and line <> start").select(F.col("start").alias("line")).distinct()
+    return n.join(begun.withColumn("begun", F.lit(True)), "line", "left").select("line", F.col("begun").isNull().alias("heading"))
+
+
 def truncated(documents: DataFrame) -> DataFrame:
     """doc_id, source, kind, at_limit, in_word, cut: every document with a text and whether it was cut."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").where(F.length(F.trim("text")) > 0)
@@ -132,8 +149,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     tokens = open_.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("own"))
     nodes = trie(words(docs), tokens).join(tokens, "token").select("token", F.greatest(F.col("ends") - F.col("own"), F.lit(0)).alias("ends"), "runs_on")
     lines = open_.where("kind = 'open'").select("line").distinct()
-    heads = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("length(line) between 1 and 80")
-    heads = heads.join(lines, "line", "left_semi").groupBy("line").agg(F.countDistinct("doc_id").alias("seen"))
+    heads = headings(docs, lines)
     asked = t.where("kind = 'abbreviation'").select("token").distinct()
     follow = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}.\-]{1,14}\.\s+[^\s])"), 1)).alias("x"))
     follow = follow.select(F.lower(F.regexp_extract("x", r"^(.*)\.\s+\S$", 1)).alias("token"), F.regexp_extract("x", r"(\S)$", 1).alias("c"))
@@ -150,7 +166,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     at_limit = F.coalesce("at_limit", F.lit(False))
     in_word = (F.col("token") != "") & (zero("runs_on") > 0) & (zero("ends") * 20 < zero("runs_on"))
-    heading = (F.col("kind") == "open") & (zero("seen") >= 2)
+    heading = (F.col("kind") == "open") & F.coalesce("heading", F.lit(False)) & ~in_word & ~at_limit
     verdict = (
         F.when(F.col("kind") == "cut", True)
         .when(F.col("kind") == "whole", False)

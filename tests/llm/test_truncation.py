@@ -58,3 +58,14 @@ def test_trie_and_limits(spark):
     assert got == {"wo": (1, 3), "word": (2, 1)}
     t = spark.createDataFrame([("s", n) for n in [*range(50, 100), *[600] * 9]], "source string, n int")
     assert [tuple(r) for r in limits(t).collect()] == [("s", 600)]
+
+
+def test_headings_and_cut_headings_that_collide(spark):
+    body = lambda i: f"Study {i} was done in town {i}.\n"
+    rows = [(i, body(i) + "Statistical analysis\n" + body(i + 1000) + "Results") for i in range(8)]
+    rows += [(100 + i, body(i + 50) + "Results\n" + body(i + 70)) for i in range(8)]
+    rows += [(200 + i, body(i + 200) + "Statistical") for i in range(3)]
+    rows += [(300 + i, body(300) + "All runs of the arm were") for i in range(2)]
+    rows += [(400 + i, body(i + 400) + "Statistical analysis") for i in range(2)]
+    df = spark.createDataFrame([(i, f"s{i}", t) for i, t in rows], "doc_id bigint, source string, text string")
+    assert {r.doc_id for r in truncated(df).where("cut").collect()} == {200, 201, 202, 300, 301}
