@@ -1,22 +1,30 @@
 """Same or near-same records across splits, by winnowing fingerprints.
 
 Texts become sequences of words (characters in Chinese, Japanese and Thai) without case, punctuation, spacing and look-alike
-characters. Exact copies collapse to classes; everything after works on one representative of a class. Of each window of rolling
-hashes over five words the minimum is kept, in the order of rarity: a count sketch of fixed size, filled from all texts, puts
-common phrases last, so hot fingerprints are hardly ever chosen and the join stays near linear. Fingerprints of evaluation classes
-are joined to those of training classes at compatible lengths and places; seeds of a pair are counted and must form a chain of at
-least ``min_chain`` of the shorter list; the pair is then aligned in full (longest common subsequence), so what is reported is exact.
-Two texts that share a run of window + k - 1 words always meet. Short texts, of which one word in five may differ and leave no run
-of five, are also fingerprinted by two words (three characters) in windows of three, so that a common run of four words suffices; texts
-near the border are in both lists, so that texts of compatible lengths always have a list in common.
+characters. Exact copies collapse to classes, numbered and kept as one table; everything after works on one representative of a
+class. Of each window of rolling hashes over five words the minimum is kept, in the order of rarity: a count sketch, filled from all
+texts, puts common phrases last. Fingerprints of evaluation classes are joined to those of training classes; what is common in spite
+of that is spread over as many salts as its count asks for. A fingerprint carries its class's length and a map of its words, from which
+follows, inside the join, how many words at least are without a partner: pairs that can't reach ``share`` end there, and no other
+pair does. The seeds of a pair are chained in order on both sides, the chain is extended by alignment between and
+around its seeds, and where that falls short the texts are aligned in full (longest common subsequence). Every pair with one seed is
+aligned, so all that is reported is exact, and what can be missed is only a pair without a single seed.
+
+Two texts that share a run of window + k - 1 words always meet. Texts of a few sentences, of which one word in five may differ and leave
+no run of five, are also fingerprinted by two words (three characters) in windows of three, so that a common run of four words
+suffices. Which lists a text is in follows from its length with a margin of ``share`` on both sides, so two texts whose lengths allow
+an overlap always have a list in common.
 
 Defined results: null texts and texts without words meet nothing; repeated rows count once; an id with several splits counts in
-each; texts shorter than five words have one fingerprint; texts of any length are read whole; other columns don't matter.
+each; an id with several texts is a record with each of them; texts shorter than five words have one fingerprint; texts of any length
+are read whole; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +41,12 @@ from lectern.session import cut_table
 _word = re.compile(r"[^\W_]+")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 DENSE_LANGS = ("zh", "ja", "th")
-K, K_DENSE, WINDOW, SKETCH_BITS = 5, 10, 8, 18
+K, K_DENSE, WINDOW = 5, 10, 8
 SHORT, SHORT_DENSE, K_SHORT, K_SHORT_DENSE, WINDOW_SHORT = 32, 60, 2, 3, 3
+#: buckets of the sketch, as a power of two: one for each class of texts within these bounds (a byte each)
+SKETCH_BITS = (18, 24)
+#: a fingerprint is spread over one salt for each so many classes that hold it, as a power of two
+SALT_BITS = 12
 
 
 def units(text: str, lang: str | None) -> list[str]:
@@ -58,110 +70,195 @@ def common(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict = {}
+def word_map(hashes: list[int]) -> tuple[int, int]:
+    """128 bits, in two: a bit of each word. A bit set in one map only stands for at least one word without a partner."""
+    bits = 0
+    for h in hashes:
+        bits |= 1 << (h & 127)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(bits & (1 << 64) - 1), signed(bits >> 64)
+
+
+def _hashes(words: list[str], known: dict) -> list[int]:
+    if len(known) > 500_000:
+        known.clear()
+    out = []
+    for w in words:
+        h = known.get(w)
+        if h is None:
+            h = known[w] = xxhash.xxh3_64_intdigest(w)
+        out.append(h)
+    return out
+
+
+def _words(norm: str, dense: int) -> list[str]:
+    return list(norm) if dense else norm.split(" ")
+
+
+FORMS = "row bigint, key string, cls binary, dense int, norm string"
+
+
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for row, key, text, lang in zip(pdf["row"], pdf["key"], pdf["text"], pdf["lang"]):
             w = units(text, lang)
-            if not w:
-                continue
-            if len(known) > 500_000:
-                known.clear()
-            tokens = []
-            for x in w:
-                h = known.get(x)
-                if h is None:
-                    h = known[x] = xxhash.xxh32_intdigest(x) - (1 << 31)
-                tokens.append(h)
-            dense = int(len(w) > 1 and max(map(len, w)) == 1)
-            rows.append((row, key, xxhash.xxh3_128_hexdigest(" ".join(w)), dense, tokens))
-        yield pd.DataFrame(rows, columns=["row", "key", "cls", "dense", "tokens"])
+            if w:
+                dense = int(len(w) > 1 and max(map(len, w)) == 1)
+                norm = ("" if dense else " ").join(w)
+                rows.append((row, key, xxhash.xxh3_128_digest(norm) + bytes([dense]), dense, norm))
+        yield pd.DataFrame(rows, columns=["row", "key", "cls", "dense", "norm"])
 
 
 def grams(tokens: np.ndarray, dense: int, short: bool = False) -> np.ndarray:
+    """Hashes of all runs of k words; tokens: 64-bit hashes of the words."""
     k = min((K_SHORT_DENSE if dense else K_SHORT) if short else K_DENSE if dense else K, len(tokens))
-    h = _rolling(tokens.astype(np.int64).astype(np.uint64) + np.uint64(k), k)
+    h = _rolling(tokens.astype(np.uint64) + np.uint64(k), k)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for pdf in batches:
-        for t, d in zip(pdf["tokens"], pdf["dense"]):
-            for short in lists(len(t), d, 0.8):
-                total[np.unique(grams(np.asarray(t), d, short) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
-    at = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
-
-
-def rarity(classes: DataFrame) -> np.ndarray:
-    """log2 of the counts of 2^SKETCH_BITS buckets of fingerprints: one byte each, whatever the corpus."""
-    n = classes.select("tokens", "dense").mapInPandas(_sketch, "bucket int, n bigint").groupBy("bucket").agg(F.ceil(F.log2(F.sum("n") + 1)).cast("int").alias("n"))
-    block = n.groupBy((F.col("bucket") / 1024).cast("int").alias("b")).agg(F.collect_list(F.struct(F.col("bucket"), F.col("n"))).alias("x"))
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in block.toLocalIterator():  # 2^SKETCH_BITS / 1024 rows
-        for bucket, level in row.x:
-            out[bucket] = level
-    return out
-
-
 def lists(n: int, dense: int, share: float) -> list[bool]:
     """Whether a text of n words is in the list of longer and in that of short texts."""
     border = SHORT_DENSE if dense else SHORT
     return [x for x, there in ((False, n >= border * share), (True, n <= border / share)) if there]
 
 
-def winnow(tokens: np.ndarray, dense: int, level: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the rarest fingerprint of each window; ties by hash, then the first place."""
+def _sketch(share: float, bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, known = np.zeros(1 << bits, np.int64), {}
+        for pdf in batches:
+            some = []
+            for norm, d in zip(pdf["norm"], pdf["dense"]):
+                t = np.array(_hashes(_words(norm, d), known), np.uint64)
+                some += [np.unique(grams(t, d, short) >> np.uint64(64 - bits)) for short in lists(len(t), d, share)]
+            if some:
+                total += np.bincount(np.concatenate(some).astype(np.int64), minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    return run
+
+
+def rarity(classes: DataFrame, share: float, n_classes: int) -> np.ndarray:
+    """log2 of the counts of fingerprints by bucket: one byte each; their number follows that of the classes within SKETCH_BITS."""
+    bits = min(max(math.ceil(math.log2(n_classes + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])
+    n = classes.select("norm", "dense").mapInPandas(_sketch(share, bits), "bucket int, n bigint").groupBy("bucket").agg(F.ceil(F.log2(F.sum("n") + 1)).cast("int").alias("n"))
+    code = F.array_sort(F.collect_list(F.struct((F.col("bucket") % 4096).alias("at"), "n")))
+    block = n.groupBy((F.col("bucket") / 4096).cast("int").alias("b")).agg(F.transform(code, lambda x: x["at"] * 64 + x["n"]).alias("x"))
+    out = np.zeros(1 << bits, np.uint8)
+    for row in block.toLocalIterator():  # 2^bits / 4096 rows
+        x = np.array(row.x)
+        out[row.b * 4096 + x // 64] = x % 64
+    return out
+
+
+def winnow(tokens: np.ndarray, dense: int, level: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, hashes and levels of the rarest fingerprint of each window; ties by hash, then the first place."""
     h, w = grams(tokens, dense, short), WINDOW_SHORT if short else WINDOW
-    order = (level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    own = level[(h >> np.uint64(64 - int(len(level)).bit_length() + 1)).astype(np.int64)]
+    order = (own.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
     at = np.array([order.argmin()]) if len(h) <= w else np.unique(np.lib.stride_tricks.sliding_window_view(order, w).argmin(1) + np.arange(len(h) - w + 1))
     _, first = np.unique(h[at], return_index=True)
-    return at[first], h[at[first]]
+    at = at[first]
+    return at, h[at], own[at]
 
 
-def _prints(level: np.ndarray, share: float):
+PRINTS = "fp bigint, salt int, c bigint, pos int, size int, m0 bigint, m1 bigint, is_held boolean"
+
+
+def _prints(level, share: float):
+    """Rows of the evaluation side, repeated for every salt, and of the training side, at one salt; a class may be on both."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        levels, known = level.value, {}
         for pdf in batches:
-            fp, rows, pos, of = [], [], [], []
-            for r, (t, d) in enumerate(zip(pdf["tokens"], pdf["dense"])):
-                both = [winnow(np.asarray(t), d, level, short) for short in lists(len(t), d, share)]
-                at, h = (np.concatenate(x) for x in zip(*both))
-                fp.append(h.astype(np.int64)), pos.append(at), rows.append(np.full(len(at), r)), of.append(np.full(len(at), len(at)))
-            if fp:
-                i = np.concatenate(rows)
-                take = pdf.iloc[i]
-                yield pd.DataFrame({"fp": np.concatenate(fp), "c": take["c"].to_numpy(), "pos": np.concatenate(pos).astype(np.int32), "size": take["size"].to_numpy(), "of": np.concatenate(of).astype(np.int32), "train": take["train"].to_numpy(), "held": take["held"].to_numpy()})
+            parts = []
+            for c, norm, d, train, held in zip(pdf["c"], pdf["norm"], pdf["dense"], pdf["train"], pdf["held"]):
+                hs = _hashes(_words(norm, d), known)
+                m0, m1 = word_map(hs)
+                t = np.array(hs, np.uint64)
+                at, h, own = (np.concatenate(x) for x in zip(*(winnow(t, d, levels, short) for short in lists(len(t), d, share))))
+                salts = 1 << np.maximum(own.astype(np.int64) - SALT_BITS, 0)
+                if train:
+                    parts.append((h, c % salts, c, at, len(t), m0, m1, False))
+                if held:
+                    i = np.repeat(np.arange(len(h)), salts)
+                    parts.append((h[i], np.arange(len(i)) - np.repeat(np.cumsum(salts) - salts, salts), c, at[i], len(t), m0, m1, True))
+            if parts:
+                n = [len(p[0]) for p in parts]
+                each = lambda k: np.repeat([p[k] for p in parts], n)  # noqa: E731, B023
+                one = lambda k: np.concatenate([p[k] for p in parts])  # noqa: E731, B023
+                yield pd.DataFrame({"fp": one(0).astype(np.int64), "salt": one(1).astype(np.int32), "c": each(2), "pos": one(3).astype(np.int32), "size": each(4).astype(np.int32), "m0": each(5), "m1": each(6), "is_held": each(7)})
 
     return run
 
 
+def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of seeds that rises on both sides."""
+    seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
+    ends, at, back = [], [], []  # of chains of each length: the least last place, its seed; the seed before each
+    for i, (_, y) in enumerate(seeds):
+        k = bisect_left(ends, y)
+        back.append(at[k - 1] if k else -1)
+        ends[k : k + 1], at[k : k + 1] = [y], [i]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(seeds[i])
+        i = back[i]
+    return out[::-1]
+
+
+def extended(a: list[str], b: list[str], anchors: list[tuple[int, int]]) -> int:
+    """Words in common order along a chain: each seed is run on while words agree, what lies between is aligned."""
+    total, x, y = 0, 0, 0
+    for i, j in [*anchors, (len(a), len(b))]:
+        if i < x or j < y:  # inside the run of an earlier seed
+            continue
+        total += common(a[x:i], b[y:j])
+        x, y = i, j
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y, total = x + 1, y + 1, total + 1
+    return total
+
+
 def _aligned(share: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n = [common(list(a), list(b)) for a, b in zip(pdf["ta"], pdf["tb"])]
-            longer = np.maximum(pdf["ta"].map(len), pdf["tb"].map(len))
-            out = pdf[["a", "b"]].assign(coverage=np.array(n, float) / longer)
-            yield out[out["coverage"] >= share - 1e-9]
+            rows = []
+            for a, b, na, nb, d, seeds in zip(pdf["a"], pdf["b"], pdf["norm_a"], pdf["norm_b"], pdf["dense"], pdf["seeds"]):
+                wa, wb = _words(na, d), _words(nb, d)
+                longer = max(len(wa), len(wb))
+                n = extended(wa, wb, chain([(s >> 32, s & 0xFFFFFFFF) for s in seeds.tolist()]))
+                if n < share * longer - 1e-9:
+                    n = common(wa, wb)
+                if n >= share * longer - 1e-9:
+                    rows.append((a, b, n / longer))
+            yield pd.DataFrame(rows, columns=["a", "b", "coverage"])
 
     return run
 
 
-def near_classes(classes: DataFrame, share: float = 0.8, min_chain: float = 0.1) -> DataFrame:
-    """a (holds evaluation rows), b (holds training rows), coverage. classes: c, tokens, dense, size, train, held."""
-    level = rarity(classes)
-    prints = classes.select("c", "tokens", "dense", "size", "train", "held").mapInPandas(_prints(level, share), "fp bigint, c bigint, pos int, size int, of int, train boolean, held boolean")
-    prints = cut_table(prints)
-    side = lambda s, f: prints.where(f).select("fp", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "of")])
-    longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    seeds = side("a", "held").join(side("b", "train"), "fp").where((F.col("c_a") != F.col("c_b")) & (shorter >= share * longer) & (F.abs(F.col("pos_a") - F.col("pos_b")) <= (1 - share) * longer * 1.25 + 1))
-    pairs = seeds.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.count(F.lit(1)).alias("seeds"), F.min(F.least("of_a", "of_b")).alias("of"))
-    pairs = pairs.where((F.col("seeds") >= F.col("of") * min_chain) & ((F.col("seeds") >= 2) | (F.col("of") < 16))).select("a", "b")
-    tokens = classes.select("c", "tokens")
-    both = pairs.join(tokens.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(_aligned(share), "a bigint, b bigint, coverage double")
+def seeds(prints: DataFrame, share: float) -> DataFrame:
+    """a (evaluation), b (training), seeds (places on both sides, in one number) of the pairs that lengths and words allow."""
+    side = lambda s, f: prints.where(f).select("fp", "salt", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "m0", "m1")])
+    longer = F.greatest("size_a", "size_b")
+    alone = lambda s, t: F.bit_count(F.col(f"m0_{s}").bitwiseAND(F.bitwise_not(F.col(f"m0_{t}")))) + F.bit_count(F.col(f"m1_{s}").bitwiseAND(F.bitwise_not(F.col(f"m1_{t}"))))
+    through = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    need = share * longer - 1e-6
+    j = side("a", "is_held").join(side("b", "not is_held"), ["fp", "salt"])
+    j = j.where((F.col("c_a") != F.col("c_b")) & (F.least("size_a", "size_b") >= need) & (through >= need) & (F.col("size_a") - alone("a", "b") >= need) & (F.col("size_b") - alone("b", "a") >= need))
+    return j.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.collect_list(F.shiftleft(F.col("pos_a").cast("bigint"), 32) + F.col("pos_b")).alias("seeds"))
+
+
+def near_classes(classes: DataFrame, share: float = 0.8) -> DataFrame:
+    """a (holds evaluation rows), b (holds training rows), coverage. classes: c, norm, dense, train, held; a written table."""
+    n = classes.count()
+    level = classes.sparkSession.sparkContext.broadcast(rarity(classes, share, n))  # at most 2^24 bytes
+    pairs = seeds(classes.select("c", "norm", "dense", "train", "held").mapInPandas(_prints(level, share), PRINTS), share)
+    text = lambda s, f: classes.where(f).select(F.col("c").alias(s), F.col("norm").alias(f"norm_{s}"), *([F.col("dense")] if s == "a" else []))
+    both = pairs.join(text("b", "train"), "b").join(text("a", "held"), "a")
+    return both.select("a", "b", "norm_a", "norm_b", "dense", "seeds").mapInPandas(_aligned(share), "a bigint, b bigint, coverage double")
 
 
 def splits_of(id_map: DataFrame) -> DataFrame:
@@ -170,29 +267,46 @@ def splits_of(id_map: DataFrame) -> DataFrame:
     return s.select("key", "split", "origin", (F.col("split") != "train").alias("held")).distinct()
 
 
-def text_overlaps(texts: DataFrame, id_map: DataFrame, share: float = 0.8) -> DataFrame:
-    """held_id, train_id, coverage of texts that overlap across splits."""
+def text_links(texts: DataFrame, id_map: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """members (row, c, train, held) of classes of equal texts, and links (a, b, coverage) between an evaluation and another training class."""
     src = texts.select(F.col("text_id").cast("bigint").alias("row"), corpus_key(F.col("id")).alias("key"), "text", F.lower(F.trim("lang")).alias("lang")).where("text is not null and key is not null and row is not null")
-    rows = src.mapInPandas(_sequences, "row bigint, key string, cls string, dense int, tokens array<int>")
+    forms = cut_table(src.mapInPandas(_forms, FORMS))
     side = splits_of(id_map).groupBy("key").agg(F.bool_or("held").alias("held"), F.bool_or(~F.col("held")).alias("train"))
-    rows = cut_table(rows.join(side, "key").withColumn("c", F.xxhash64("cls")))
-    members = rows.select("row", "c", "held", "train").distinct()
-    classes = rows.groupBy("c").agg(F.first("tokens").alias("tokens"), F.first("dense").alias("dense"), F.size(F.first("tokens")).alias("size"), F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
-    near = near_classes(cut_table(classes), share)
-    same = members.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("coverage")).distinct()
-    links = near.unionByName(same)
+    rows = forms.select("row", "key", "cls").distinct().join(side, "key").groupBy("row", "cls").agg(F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
+    found = rows.groupBy("cls").agg(F.min("row").alias("row"), F.bool_or("train").alias("train"), F.bool_or("held").alias("held"))
+    numbered = cut_table(found.withColumn("c", F.monotonically_increasing_id()))  # written, so the numbers stay
+    members = cut_table(rows.select("row", "cls", "train", "held").join(numbered.select("cls", "c"), "cls").drop("cls"))
+    first = forms.select("row", "cls", "dense", "norm").dropDuplicates(["row", "cls"])
+    classes = cut_table(first.join(numbered, ["row", "cls"]).select("c", "norm", "dense", "train", "held"))
+    return members, near_classes(classes, share)
+
+
+def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
+    """held_id, train_id, coverage of all rows of linked and of equal classes."""
+    same = members.groupBy("c").agg(F.bool_or("held").alias("h"), F.bool_or("train").alias("t")).where("h and t")
+    all_links = links.unionByName(same.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("coverage")))
     held = members.where("held").select(F.col("row").alias("held_id"), F.col("c").alias("a"))
     train = members.where("train").select(F.col("row").alias("train_id"), F.col("c").alias("b"))
-    return links.join(held, "a").join(train, "b").where("held_id <> train_id").select("held_id", "train_id", "coverage").distinct()
+    return all_links.join(held, "a").join(train, "b").where("held_id <> train_id").select("held_id", "train_id", "coverage").distinct()
+
+
+def text_overlaps(texts: DataFrame, id_map: DataFrame, share: float = 0.8) -> DataFrame:
+    """held_id, train_id, coverage of texts that overlap across splits."""
+    return expanded(*text_links(texts, id_map, share))
+
+
+def doi_members(documents: DataFrame, id_map: DataFrame) -> DataFrame:
+    """row, c (the DOI), train, held."""
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("row"), corpus_key(F.col("id")).alias("key"), doi_key(F.col("doi")).alias("c")).where("c is not null and row is not null").distinct()
+    sided = docs.join(splits_of(id_map).select("key", "held").distinct(), "key")
+    return sided.groupBy("row", "c").agg(F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
 
 
 def doi_overlaps(documents: DataFrame, id_map: DataFrame) -> DataFrame:
     """held_id, train_id of documents with the same DOI across splits."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("row"), corpus_key(F.col("id")).alias("key"), doi_key(F.col("doi")).alias("doi")).where("doi is not null and row is not null").distinct()
-    sided = docs.join(splits_of(id_map).select("key", "held").distinct(), "key")
-    held = sided.where("held").select(F.col("row").alias("held_id"), "doi")
-    train = sided.where("not held").select(F.col("row").alias("train_id"), "doi")
-    return held.join(train, "doi").where("held_id <> train_id").select("held_id", "train_id").distinct()
+    m = doi_members(documents, id_map)
+    held, train = m.where("held").select(F.col("row").alias("held_id"), "c"), m.where("train").select(F.col("row").alias("train_id"), "c")
+    return held.join(train, "c").where("held_id <> train_id").select("held_id", "train_id").distinct()
 
 
 def ordered(pairs: DataFrame, kind: str) -> DataFrame:
@@ -200,8 +314,20 @@ def ordered(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.select(F.lit(kind).alias("row_kind"), lo.alias("first_id"), F.greatest("held_id", "train_id").alias("second_id")).distinct()
 
 
-def report(pairs: DataFrame, rows: DataFrame, id_map: DataFrame, kind: str) -> DataFrame:
-    """row_kind, split, source, n_records, n_pairs of evaluation rows that overlap with training. rows: row, key, source."""
-    own = pairs.join(rows.withColumnRenamed("row", "held_id"), "held_id").join(splits_of(id_map).where("held").select("key", "split"), "key")
-    g = own.groupBy("split", "source").agg(F.countDistinct("held_id").alias("n_records"), F.count(F.lit(1)).alias("n_pairs"))
-    return g.select(F.lit(kind).alias("row_kind"), "split", "source", "n_records", "n_pairs")
+def records(members: DataFrame, links: DataFrame | None, kind: str) -> DataFrame:
+    """row_kind, row, n_links, coverage (the greatest) of every evaluation record that overlaps with training; from the sizes of
+    classes, so copies are never multiplied out."""
+    train = F.col("train").cast("bigint")
+    size = members.groupBy("c").agg(F.sum(train).alias("n"))
+    own = members.where("held").join(size, "c").select("row", (F.col("n") - train).alias("n"), F.lit(1.0).alias("coverage"))
+    if links is not None:
+        near = links.join(size.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.sum("n").alias("n"), F.max("coverage").alias("coverage"))
+        own = own.unionByName(members.where("held").join(near, F.col("c") == F.col("a")).select("row", "n", "coverage"))
+    g = own.where("n > 0").groupBy("row").agg(F.sum("n").alias("n_links"), F.max("coverage").alias("coverage"))
+    return g.select(F.lit(kind).alias("row_kind"), "row", "n_links", "coverage")
+
+
+def report(found: DataFrame, rows: DataFrame, id_map: DataFrame) -> DataFrame:
+    """row_kind, split, source, n_records, n_pairs, mean_coverage of evaluation rows that overlap. found: see records. rows: row, key, source."""
+    own = found.join(rows, "row").join(splits_of(id_map).where("held").select("key", "split"), "key").select("row_kind", "row", "split", "source", "n_links", "coverage").distinct()
+    return own.groupBy("row_kind", "split", "source").agg(F.countDistinct("row").alias("n_records"), F.sum("n_links").alias("n_pairs"), F.avg("coverage").alias("mean_coverage"))

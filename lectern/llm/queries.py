@@ -59,22 +59,30 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> tuple:
     ids = table(spark, sf_dir, "id_map")
-    return overlap.text_overlaps(table(spark, sf_dir, "texts"), ids), overlap.doi_overlaps(table(spark, sf_dir, "documents"), ids)
+    return overlap.text_links(table(spark, sf_dir, "texts"), ids), overlap.doi_members(table(spark, sf_dir, "documents"), ids)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, dois = _overlaps(spark, sf_dir)
+    ids = table(spark, sf_dir, "id_map")
+    texts, dois = overlap.text_overlaps(table(spark, sf_dir, "texts"), ids), overlap.doi_overlaps(table(spark, sf_dir, "documents"), ids)
     return overlap.ordered(texts, "text").unionByName(overlap.ordered(dois, "doi"))
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_kind, row, n_links, coverage of every evaluation record that overlaps with training."""
+    (members, links), dois = _overlaps(spark, sf_dir)
+    return overlap.records(members, links, "text").unionByName(overlap.records(dois, None, "doi"))
+
+
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts, dois = _overlaps(spark, sf_dir)
+    (members, links), dois = _overlaps(spark, sf_dir)
     ids = table(spark, sf_dir, "id_map")
     key = corpus_key(F.col("id")).alias("key")
     origin = overlap.splits_of(ids).groupBy("key").agg(F.min("origin").alias("source"))
     paragraphs = table(spark, sf_dir, "texts").select(F.col("text_id").alias("row"), key).distinct().join(origin, "key", "left")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), key, "source").distinct()
-    return overlap.report(texts.select("held_id", "train_id"), paragraphs, ids, "text").unionByName(overlap.report(dois, docs, ids, "doi"))
+    texts = overlap.report(overlap.records(members, links, "text"), paragraphs, ids)
+    return texts.unionByName(overlap.report(overlap.records(dois, None, "doi"), docs, ids))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +119,5 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.report(truncation.truncated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p7_packing": p7_packing, "p7_summary": p7_summary, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p2_look_alikes": p2_look_alikes, "p3_found": p3_found, "p3_consensus": p3_consensus, "p3_reliability": p3_reliability, "p3_agreement": p3_agreement, "p4_found": p4_found, "p4_splits": p4_splits, "p5_found": p5_found, "p5_coverage": p5_coverage, "p5_report": p5_report, "p6_found": p6_found, "p7_packing": p7_packing, "p7_summary": p7_summary, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_report": p9_report}
 SQL: dict[str, str] = {}

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.overlap import common, doi_overlaps, ordered, report, text_overlaps, units, winnow
+from lectern.llm.overlap import chain, common, doi_overlaps, expanded, extended, ordered, records, report, text_links, text_overlaps, units, winnow, word_map
 
 
 def lcs(a, b):
@@ -42,11 +42,17 @@ def test_against_brute_force(spark):
                 x, y = units(s, "en"), units(t, "en")
                 if lcs(x, y) >= 0.8 * max(len(x), len(y)):
                     want.add((min(i, j), max(i, j)))
-    pairs = text_overlaps(texts, id_map)
+    members, links = text_links(texts, id_map)
+    pairs = expanded(members, links)
     got = {(r.first_id, r.second_id) for r in ordered(pairs, "text").collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 20
+    each = {r.row: r for r in records(members, links, "text").collect()}
+    by = {}
+    for r in pairs.collect():
+        by.setdefault(r.held_id, []).append(r.coverage)
+    assert {k: (len(v), max(v)) for k, v in by.items()} == {k: (r.n_links, r.coverage) for k, r in each.items()}
     source = texts.selectExpr("text_id as row", "id as key", "'s' as source").distinct()
-    assert sum(r.n_pairs for r in report(pairs, source, id_map, "text").collect()) >= len(got)
+    assert sum(r.n_pairs for r in report(records(members, links, "text"), source, id_map).collect()) == sum(r.n_links for r in each.values())
     assert text_overlaps(texts.where("text_id < 0"), id_map).count() == 0
 
 
@@ -62,5 +68,42 @@ def test_parts():
         a, b = ([r.randrange(5) for _ in range(r.randint(1, 40))] for _ in range(2))
         assert common(a, b) == lcs(a, b)
     assert units("Ｐly-Stat, 的 é", "en") == ["ply", "stat", "的", "e"] and units("雨。 が", "ja") == ["雨", "か"]
-    at, h = winnow(np.arange(3), 0, np.zeros(1 << 20, np.uint8))
+    at, h, _ = winnow(np.arange(3), 0, np.zeros(1 << 20, np.uint8))
     assert len(at) == len(h) == 1
+
+
+def test_chains_and_word_maps():
+    r = random.Random(5)
+    for _ in range(200):
+        a = [r.randrange(30) for _ in range(r.randint(1, 40))]
+        b = [x if r.random() < 0.85 else r.randrange(30) for x in a]
+        anchors = [(i, i) for i in range(len(a)) if a[i] == b[i] and r.random() < 0.3]
+        n = extended(a, b, chain(anchors) if anchors else [])
+        assert n <= lcs(a, b) and (anchors == [] or n >= len(anchors))
+        (p, q), (s, t) = word_map(a), word_map(b)
+        alone = (p & ~s & (1 << 64) - 1).bit_count() + (q & ~t & (1 << 64) - 1).bit_count()
+        assert len(a) - alone >= lcs(a, b)
+    assert chain([(5, 5), (1, 9), (2, 2), (9, 1), (2, 2)]) == [(2, 2), (5, 5)] and chain([]) == []
+
+
+def test_one_seed_in_longer_texts(spark):
+    """Eighty of a hundred words in order, with one run of twelve and other words after every fourth else."""
+    words = [f"w{i}" for i in range(100)]
+    other = words[:12] + [w if (i % 5) != 4 else f"x{i}" for i, w in enumerate(words[12:], 12)]
+    assert common(words, other) >= 80
+    texts = spark.createDataFrame([(1, "a", " ".join(words), "en"), (2, "b", " ".join(other), "en")], "text_id bigint, id string, text string, lang string")
+    ids = spark.createDataFrame([("a", "train", "o"), ("b", "test", "o")], "id string, split string, origin string")
+    assert [(r.held_id, r.train_id) for r in text_overlaps(texts, ids).collect()] == [(2, 1)]
+
+
+def test_a_common_fingerprint_in_many_salts(spark, monkeypatch):
+    """A phrase that all texts begin with is spread over salts, and no link is lost."""
+    from lectern.llm import overlap
+
+    monkeypatch.setattr(overlap, "SALT_BITS", 1)
+    same = "a phrase of six words here"
+    rows = [(i, f"k{i}", f"{same} {' '.join(f'n{i // 2}_{j}' for j in range(3))}", "en") for i in range(80)] + [(100 + i, f"k{i}", same, "en") for i in range(20)]
+    texts = spark.createDataFrame(rows, "text_id bigint, id string, text string, lang string")
+    ids = spark.createDataFrame([(f"k{i}", "test" if i % 2 else "train", "o") for i in range(80)], "id string, split string, origin string")
+    got = {(r.held_id, r.train_id) for r in text_overlaps(texts, ids).collect()}
+    assert {(i + 1, i) for i in range(0, 80, 2)} <= got and {(101 + i, 100 + j) for i in range(0, 20, 2) for j in range(0, 20, 2)} <= got
