@@ -16,12 +16,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select(F.lit("raw_form").alias("row_kind"), "row_key").unionByName(texts.select(F.lit("text").alias("row_kind"), "row_key"))
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = confusables.canonicalize(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+    texts = confusables.canonicalize(table(spark, sf_dir, "texts"), "text_id", "text")
+    return forms.withColumn("row_kind", F.lit("raw_form")).unionByName(texts.withColumn("row_kind", F.lit("text")))
+
+
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusables.canonicalize(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+    return _canonical(spark, sf_dir).select("row_kind", "row_key", "original", "text", "skeleton", "needed")
 
 
 def p2_look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusables.look_alikes(table(spark, sf_dir, "entity_spans"), "span_id", "raw_form")
+    return confusables.look_alikes(_canonical(spark, sf_dir))
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> tuple:
