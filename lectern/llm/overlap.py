@@ -70,31 +70,76 @@ def common(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def word_map(hashes: list[int]) -> tuple[int, int]:
-    """128 bits, in two: a bit of each word. A bit set in one map only stands for at least one word without a partner."""
-    bits = 0
-    for h in hashes:
-        bits |= 1 << (h & 127)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(bits & (1 << 64) - 1), signed(bits >> 64)
-
-
-def _hashes(words: list[str], known: dict) -> list[int]:
-    if len(known) > 500_000:
-        known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return out
+class Hashes(dict):
+    """64-bit hashes of words, kept for the next time they occur."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
 def _words(norm: str, dense: int) -> list[str]:
     return list(norm) if dense else norm.split(" ")
 
 
+class Batch:
+    """The words of many texts as one array of hashes: n words of each text, from ``start`` on."""
+
+    def __init__(self, norms, dense, known: Hashes):
+        words = [list(map(known.__getitem__, _words(x, d))) for x, d in zip(norms, dense)]
+        self.dense = np.asarray(dense, np.int64)
+        self.n = np.array([len(w) for w in words], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.hashes = np.array([h for w in words for h in w], np.uint64)
+
+    def maps(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each text, in two: a bit of each word. A bit set in one map only stands for at least one word without a partner."""
+        bit = np.uint64(1) << (self.hashes & np.uint64(63))
+        upper = (self.hashes & np.uint64(64)) > 0
+        return tuple(np.bitwise_or.reduceat(np.where(upper == x, bit, np.uint64(0)), self.start).astype(np.int64) for x in (False, True))
+
+    def lists(self, share: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(k, window, texts) of the list of longer and that of short texts, by kind; texts shorter than k words go by all they have."""
+        for short in (False, True):
+            for d in (0, 1):
+                border = SHORT_DENSE if d else SHORT
+                mine = (self.dense == d) & (self.n > 0) & ((self.n <= border / share) if short else (self.n >= border * share))
+                k0 = (K_SHORT_DENSE if d else K_SHORT) if short else K_DENSE if d else K
+                for k in range(1, k0 + 1):
+                    at = np.flatnonzero(mine & ((self.n >= k0) if k == k0 else (self.n == k)))
+                    if len(at):
+                        yield k, WINDOW_SHORT if short else WINDOW, at
+
+    def grams(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words of the texts ``at``, one text after the other; the number of runs of each and the place of each."""
+        m = self.n[at] - k + 1
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        h = _rolling(self.hashes + np.uint64(k), k)[np.repeat(self.start[at], m) + place]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29)), m, place
+
+
+def minima(order: np.ndarray, m: np.ndarray, place: np.ndarray, w: int) -> np.ndarray:
+    """Which runs are the least of a window of w, or of all where there are fewer. order: runs of all texts; m: their numbers by text."""
+    wide = np.cumsum(m + w - 1) - (m + w - 1)
+    at = np.repeat(wide, m) + place
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    x = np.full(int((m + w - 1).sum()) + w - 1, top)
+    x[at] = order
+    low = x[: len(x) - w + 1].copy()
+    for i in range(1, w):
+        np.minimum(low, x[i : len(x) - w + 1 + i], out=low)
+    windows = np.zeros(len(low) + w - 1, np.uint64)  # 0 where no window begins
+    begins = place <= np.repeat(np.maximum(m - w, 0), m)
+    windows[at[begins] + w - 1] = low[at[begins]]
+    best = windows[w - 1 :].copy()
+    for i in range(1, w):
+        np.maximum(best, windows[w - 1 - i : len(windows) - i], out=best)
+    return best[at] == order
+
+
 FORMS = "row bigint, key string, cls binary, dense int, norm string"
 
 
@@ -110,30 +155,13 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["row", "key", "cls", "dense", "norm"])
 
 
-def grams(tokens: np.ndarray, dense: int, short: bool = False) -> np.ndarray:
-    """Hashes of all runs of k words; tokens: 64-bit hashes of the words."""
-    k = min((K_SHORT_DENSE if dense else K_SHORT) if short else K_DENSE if dense else K, len(tokens))
-    h = _rolling(tokens.astype(np.uint64) + np.uint64(k), k)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-def lists(n: int, dense: int, share: float) -> list[bool]:
-    """Whether a text of n words is in the list of longer and in that of short texts."""
-    border = SHORT_DENSE if dense else SHORT
-    return [x for x, there in ((False, n >= border * share), (True, n <= border / share)) if there]
-
-
 def _sketch(share: float, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, known = np.zeros(1 << bits, np.int64), {}
+        total, known = np.zeros(1 << bits, np.int64), Hashes()
         for pdf in batches:
-            some = []
-            for norm, d in zip(pdf["norm"], pdf["dense"]):
-                t = np.array(_hashes(_words(norm, d), known), np.uint64)
-                some += [np.unique(grams(t, d, short) >> np.uint64(64 - bits)) for short in lists(len(t), d, share)]
-            if some:
-                total += np.bincount(np.concatenate(some).astype(np.int64), minlength=1 << bits)
+            texts = Batch(pdf["norm"], pdf["dense"], known)
+            for k, _, at in texts.lists(share):
+                total += np.bincount((texts.grams(k, at)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
@@ -153,43 +181,36 @@ def rarity(classes: DataFrame, share: float, n_classes: int) -> np.ndarray:
     return out
 
 
-def winnow(tokens: np.ndarray, dense: int, level: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, hashes and levels of the rarest fingerprint of each window; ties by hash, then the first place."""
-    h, w = grams(tokens, dense, short), WINDOW_SHORT if short else WINDOW
-    own = level[(h >> np.uint64(64 - int(len(level)).bit_length() + 1)).astype(np.int64)]
-    order = (own.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    at = np.array([order.argmin()]) if len(h) <= w else np.unique(np.lib.stride_tricks.sliding_window_view(order, w).argmin(1) + np.arange(len(h) - w + 1))
-    _, first = np.unique(h[at], return_index=True)
-    at = at[first]
-    return at, h[at], own[at]
+def winnow(texts: Batch, level: np.ndarray, share: float) -> pd.DataFrame:
+    """text, pos, fp, level of the rarest fingerprint of each window; ties by hash, then the first place."""
+    shift, parts = np.uint64(64 - (len(level).bit_length() - 1)), []
+    for k, w, at in texts.lists(share):
+        h, m, place = texts.grams(k, at)
+        own = level[(h >> shift).astype(np.int64)]
+        keep = minima((own.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8)), m, place, w)
+        parts.append(pd.DataFrame({"text": np.repeat(at, m)[keep], "pos": place[keep], "fp": h[keep].astype(np.int64), "level": own[keep]}))
+    return pd.concat(parts).drop_duplicates(["text", "fp"]) if parts else pd.DataFrame({"text": [], "pos": [], "fp": [], "level": []}, dtype="int64")
 
 
-PRINTS = "fp bigint, salt int, c bigint, pos int, size int, m0 bigint, m1 bigint, is_held boolean"
+PRINTS = "fp bigint, salt int, c bigint, pos int, size int, m0 bigint, m1 bigint"
 
 
-def _prints(level, share: float):
-    """Rows of the evaluation side, repeated for every salt, and of the training side, at one salt; a class may be on both."""
+def _prints(level, share: float, every_salt: bool):
+    """Fingerprints of classes, at one salt each, or repeated for every salt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels, known = level.value, {}
+        known = Hashes()
         for pdf in batches:
-            parts = []
-            for c, norm, d, train, held in zip(pdf["c"], pdf["norm"], pdf["dense"], pdf["train"], pdf["held"]):
-                hs = _hashes(_words(norm, d), known)
-                m0, m1 = word_map(hs)
-                t = np.array(hs, np.uint64)
-                at, h, own = (np.concatenate(x) for x in zip(*(winnow(t, d, levels, short) for short in lists(len(t), d, share))))
-                salts = 1 << np.maximum(own.astype(np.int64) - SALT_BITS, 0)
-                if train:
-                    parts.append((h, c % salts, c, at, len(t), m0, m1, False))
-                if held:
-                    i = np.repeat(np.arange(len(h)), salts)
-                    parts.append((h[i], np.arange(len(i)) - np.repeat(np.cumsum(salts) - salts, salts), c, at[i], len(t), m0, m1, True))
-            if parts:
-                n = [len(p[0]) for p in parts]
-                each = lambda k: np.repeat([p[k] for p in parts], n)  # noqa: E731, B023
-                one = lambda k: np.concatenate([p[k] for p in parts])  # noqa: E731, B023
-                yield pd.DataFrame({"fp": one(0).astype(np.int64), "salt": one(1).astype(np.int32), "c": each(2), "pos": one(3).astype(np.int32), "size": each(4).astype(np.int32), "m0": each(5), "m1": each(6), "is_held": each(7)})
+            texts = Batch(pdf["norm"], pdf["dense"], known)
+            if not len(texts.n):
+                continue
+            p, c = winnow(texts, level.value, share), pdf["c"].to_numpy()
+            t, salts = p["text"].to_numpy(), 1 << np.maximum(p["level"].to_numpy(np.int64) - SALT_BITS, 0)
+            i = np.repeat(np.arange(len(p)), salts) if every_salt else np.arange(len(p))
+            salt = np.arange(len(i)) - np.repeat(np.cumsum(salts) - salts, salts) if every_salt else c[t] % salts
+            m0, m1 = texts.maps()
+            t = t[i]
+            yield pd.DataFrame({"fp": p["fp"].to_numpy()[i], "salt": salt.astype(np.int32), "c": c[t], "pos": p["pos"].to_numpy(np.int32)[i], "size": texts.n[t].astype(np.int32), "m0": m0[t], "m1": m1[t]})
 
     return run
 
@@ -239,25 +260,24 @@ def _aligned(share: float):
     return run
 
 
-def seeds(prints: DataFrame, share: float) -> DataFrame:
+def seeds(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
     """a (evaluation), b (training), seeds (places on both sides, in one number) of the pairs that lengths and words allow."""
-    side = lambda s, f: prints.where(f).select("fp", "salt", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "m0", "m1")])
+    side = lambda p, s: p.select("fp", "salt", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "m0", "m1")])
     longer = F.greatest("size_a", "size_b")
     alone = lambda s, t: F.bit_count(F.col(f"m0_{s}").bitwiseAND(F.bitwise_not(F.col(f"m0_{t}")))) + F.bit_count(F.col(f"m1_{s}").bitwiseAND(F.bitwise_not(F.col(f"m1_{t}"))))
     through = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     need = share * longer - 1e-6
-    j = side("a", "is_held").join(side("b", "not is_held"), ["fp", "salt"])
+    j = side(a, "a").join(side(b, "b"), ["fp", "salt"])
     j = j.where((F.col("c_a") != F.col("c_b")) & (F.least("size_a", "size_b") >= need) & (through >= need) & (F.col("size_a") - alone("a", "b") >= need) & (F.col("size_b") - alone("b", "a") >= need))
     return j.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.collect_list(F.shiftleft(F.col("pos_a").cast("bigint"), 32) + F.col("pos_b")).alias("seeds"))
 
 
 def near_classes(classes: DataFrame, share: float = 0.8) -> DataFrame:
     """a (holds evaluation rows), b (holds training rows), coverage. classes: c, norm, dense, train, held; a written table."""
-    n = classes.count()
-    level = classes.sparkSession.sparkContext.broadcast(rarity(classes, share, n))  # at most 2^24 bytes
-    pairs = seeds(classes.select("c", "norm", "dense", "train", "held").mapInPandas(_prints(level, share), PRINTS), share)
+    level = classes.sparkSession.sparkContext.broadcast(rarity(classes, share, classes.count()))  # at most 2^24 bytes
+    prints = lambda f, every: classes.where(f).select("c", "norm", "dense").mapInPandas(_prints(level, share, every), PRINTS)
     text = lambda s, f: classes.where(f).select(F.col("c").alias(s), F.col("norm").alias(f"norm_{s}"), *([F.col("dense")] if s == "a" else []))
-    both = pairs.join(text("b", "train"), "b").join(text("a", "held"), "a")
+    both = seeds(prints("held", True), prints("train", False), share).join(text("b", "train"), "b").join(text("a", "held"), "a")
     return both.select("a", "b", "norm_a", "norm_b", "dense", "seeds").mapInPandas(_aligned(share), "a bigint, b bigint, coverage double")
 
 

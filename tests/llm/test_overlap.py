@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.overlap import chain, common, doi_overlaps, expanded, extended, ordered, records, report, text_links, text_overlaps, units, winnow, word_map
+from lectern.llm.overlap import chain, common, doi_overlaps, expanded, extended, ordered, records, report, text_links, text_overlaps, units, winnow, Batch, Hashes, minima
 
 
 def lcs(a, b):
@@ -68,8 +68,18 @@ def test_parts():
         a, b = ([r.randrange(5) for _ in range(r.randint(1, 40))] for _ in range(2))
         assert common(a, b) == lcs(a, b)
     assert units("Ｐly-Stat, 的 é", "en") == ["ply", "stat", "的", "e"] and units("雨。 が", "ja") == ["雨", "か"]
-    at, h, _ = winnow(np.arange(3), 0, np.zeros(1 << 20, np.uint8))
-    assert len(at) == len(h) == 1
+    p = winnow(Batch(["a b c", "a"], [0, 0], Hashes()), np.zeros(1 << 20, np.uint8), 0.8)
+    assert p["text"].tolist() == [1, 0] and len(winnow(Batch([], [], Hashes()), np.zeros(1 << 18, np.uint8), 0.8)) == 0
+    for _ in range(50):
+        texts = [[r.randrange(9) + 1 for _ in range(r.randint(1, 30))] for _ in range(4)]
+        w = r.randint(1, 8)
+        want = []
+        for t in texts:
+            lows = [min(t[i : i + w]) for i in range(max(1, len(t) - w + 1))]
+            want += [any(low == x and i <= j < i + w for i, low in enumerate(lows)) for j, x in enumerate(t)]
+        m = np.array([len(t) for t in texts])
+        got = minima(np.array(sum(texts, []), np.uint64), m, np.concatenate([np.arange(n) for n in m]), w)
+        assert got.tolist() == want
 
 
 def test_chains_and_word_maps():
@@ -80,8 +90,8 @@ def test_chains_and_word_maps():
         anchors = [(i, i) for i in range(len(a)) if a[i] == b[i] and r.random() < 0.3]
         n = extended(a, b, chain(anchors) if anchors else [])
         assert n <= lcs(a, b) and (anchors == [] or n >= len(anchors))
-        (p, q), (s, t) = word_map(a), word_map(b)
-        alone = (p & ~s & (1 << 64) - 1).bit_count() + (q & ~t & (1 << 64) - 1).bit_count()
+        m = Batch([" ".join(map(str, x)) for x in (a, b)], [0, 0], Hashes()).maps()
+        alone = sum((int(x[0]) & ~int(x[1]) & (1 << 64) - 1).bit_count() for x in m)
         assert len(a) - alone >= lcs(a, b)
     assert chain([(5, 5), (1, 9), (2, 2), (9, 1), (2, 2)]) == [(2, 2), (5, 5)] and chain([]) == []
 
