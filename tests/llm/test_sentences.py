@@ -1,6 +1,6 @@
 import random
 
-from lectern.llm.sentences import candidates, guess, inside, sentences, word_type
+from lectern.llm.sentences import candidates, inside, manner, sentences, word_type
 
 NAMES = ["Barsonne", "Corvassal", "Hultagre", "Iwatora", "Kvellin", "Drabeck"]
 MAKE = [
@@ -37,8 +37,46 @@ def test_generated_english(spark):
 
 
 def test_parts():
-    assert guess("Les scores des nids ont été lus.") == "fr" and guess("これはペンです。") == "ja" and guess("12") == "en"
+    assert manner("これはペンです。", None) == "ja" and manner("12", None) == "" and manner("ab", "zh") == "zh"
     assert inside('a "b. c" d (e. f) «g') == [(2, 7), (11, 16)]
+    assert inside('5" and 6" wide') == [] and inside("„Ja.“ und „Nein.”") == [(0, 4), (10, 16)]
     assert word_type("(Ver") == "ver" and word_type("12.5") == "##"
     assert [c[:2] for c in candidates("ก ข", "th")] == [(1, 2)]
-    assert candidates("word " * 200_000, "en") == []
+    assert candidates("word " * 200_000, "") == [] and len(inside("(" * 100_000 + "a" + ")" * 100_000)) == 1
+
+
+def test_a_quotation_of_any_length_is_one():
+    for n in (5, 90, 150, 5000):
+        text = 'It says: "' + "Leave them. " * n + 'Go on." Then we left.'
+        assert [c[0] for c in candidates(text, "")] == [text.index(" Then")]
+
+
+def test_a_language_learned_from_the_texts(spark):
+    """Abbreviations, starters and collocations of an invented language, and untagged texts of it."""
+    r = random.Random(8)
+    nouns = [f"{a}{b}" for a in ("vol", "kir", "pem", "sat", "dun") for b in ("aki", "uno", "este", "oro")]
+    names = [n.capitalize() + "is" for n in nouns[:12]]
+
+    def sentence():
+        body = " ".join(r.choice(nouns) for _ in range(r.randint(4, 9)))
+        return r.choice([f"Lo {body} dok. {r.choice(names)} {r.choice(nouns)}.", f"Sen {body} {r.randint(2, 30)}. Zimar {r.choice(nouns)}.", f"Lo {body}.", f"Mir {body} {r.choice(nouns)}."])
+
+    rows, want = [], set()
+    for i in range(400):
+        text = ""
+        for _ in range(r.randint(2, 5)):
+            s = sentence()
+            want.add((i, len(text), len(text) + len(s)))
+            text += s + " "
+        rows.append((i, text, "xx" if i % 5 else None))
+    rows += [(1000 + i, "The cat sat on the mat. The dog was there.", "en") for i in range(50)]
+    got = {tuple(x) for x in sentences(spark.createDataFrame(rows, "text_id bigint, text string, lang string")).where("text_id < 1000").collect()}
+    assert len(got & want) / len(want) > 0.98 and len(got & want) / len(got) > 0.98
+
+
+def test_long_headings_of_many_lines(spark):
+    """Headings of any length and number of lines, if they stand before different texts; copies of one text prove nothing."""
+    head = "Of the many\nways in\nwhich the plots\nwere read and what was done with what had been found in each of them by the readers"
+    rows = [(i, f"{head}\nSome {i} plots were read. Others {i} were not.", "en") for i in range(4)] + [(10 + i, "We went\nHome to rest. All slept.", "en") for i in range(4)]
+    got = {tuple(x) for x in sentences(spark.createDataFrame(rows, "text_id bigint, text string, lang string")).collect()}
+    assert (0, 0, len(head)) in got and (10, 0, 7) not in got
