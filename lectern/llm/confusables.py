@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut_table
+
 # fixed values: Latin letters and the letters of other scripts that look the same
 PROTOTYPES = {
     "A": "ΑАᎪᗅꓮ", "B": "ΒВᏴᗷꓐ", "C": "ϹСᏟⲤꓚ", "D": "Ꭰᗞꓓ", "E": "ΕЕᎬⴹꓰ", "F": "Ϝᖴꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻᕼⲎꓧ", "I": "ΙІӀⲒꓲ", "J": "ͿЈᎫᒍꓙ",
@@ -178,15 +180,18 @@ def _java(s: str) -> str:
 
 
 def may_need(c: Column) -> Column:
-    """True of every value that isn't its own form or is left open, and of few others."""
+    """True of every value that isn't its own form or is left open, and of few others.
+
+    Letters that never stand in are taken out first, so that the long class meets few characters."""
+    rest = F.regexp_replace(c, r"[\x00-\x7F\u00C0-\u00FF\u0410-\u044F\u0900-\u097F\u0E00-\u0E7F\u0620-\u0652\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF]+", "")
     marks = "".join(_java(x) for x in (INVISIBLE, SPACES, HYPHENS, WIDTH, FOLDED, FAR, SINGLE, _OTHER, _FOREIGN)) + ACCENTS
     count = lambda p: F.regexp_count(c, F.lit(p))
     cyrillic, latin = count(f"[{CYRILLIC}]"), count(f"[{LATIN}]")
     own = count(f"[{CYRILLIC}&&[^{_TABLE}]]")
     mixed = c.rlike(rf"[{LATIN}][{ACCENTS}]*[{CYRILLIC}]|[{CYRILLIC}][{ACCENTS}]*[{LATIN}]|[{CYRILLIC},;]\s+[acoy]\s+[{CYRILLIC}]")
-    wide = c.rlike(f"[{_java(WIDE_MARKS)}]") & ~c.rlike(f"[{CJK}]")
+    wide = rest.rlike(f"[{_java(WIDE_MARKS)}]") & ~c.rlike(f"[{CJK}]")
     other = c.rlike(f"[{CYRILLIC}]") & (mixed | ~((own > 0.2 * cyrillic) & (cyrillic > 0.3 * latin)))
-    return c.rlike(r"[^\x00-\x7F]") & (c.rlike(f"[{marks}]") | wide | other)
+    return c.rlike(r"[^\x00-\x7F]") & (rest.rlike(f"[{marks}]") | wide | other)
 
 
 FORMS = "row_key string, original string, text string, skeleton string, needed boolean, left boolean"
@@ -197,8 +202,10 @@ def canonicalize(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     src = df.select(F.col(key_col).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("original")).distinct()
     plain = F.coalesce(F.col("original").rlike(r"^[\x00-\x7F]*$"), F.lit(True))
     same = src.where(plain).select("row_key", "original", F.col("original").alias("text"), F.col("original").alias("skeleton"), F.lit(False).alias("needed"))
-    odd = src.where(~plain).mapInPandas(_forms, FORMS)
-    return same.unionByName(settled(odd, src).select("row_key", "original", "text", "skeleton", "needed"))
+    forms = cut_table(src.where(~plain).mapInPandas(_forms, FORMS))
+    open_ = settled(forms.select("row_key", "original", "text", "skeleton", "needed", "left", *_hashes("skeleton")), src)
+    own = open_.select("row_key", "original", F.when(F.col("needed"), F.col("skeleton")).otherwise(F.col("text")).alias("text"), "skeleton", "needed")
+    return same.unionByName(forms.where("needed or not left").select(*own.columns)).unionByName(own)
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,20 +215,25 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(text=list(text), skeleton=list(skel), needed=[a != b for a, b in zip(text, pdf["original"])], left=list(left))
 
 
+def _hashes(c: str) -> list[Column]:
+    return [F.xxhash64(c).alias("k1"), F.xxhash64(F.lit(1), c).alias("k2")]
+
+
 def settled(forms: DataFrame, values: DataFrame) -> DataFrame:
-    """forms with the values left open settled by their group: an ASCII value among ``values`` with the same skeleton."""
-    by = lambda c: [F.xxhash64(c).alias("k1"), F.xxhash64(c, F.lit(1)).alias("k2")]
-    plain = values.where(F.col("original").rlike(r"^[\x00-\x7F]+$")).select(*by(F.col("original"))).distinct().withColumn("plain", F.lit(True))
-    left = forms.where("left and not needed").select("*", *by(F.col("skeleton"))).join(plain, ["k1", "k2"], "left")
-    open_ = left.select("row_key", "original", F.when(F.col("plain"), F.col("skeleton")).otherwise(F.col("text")).alias("text"), "skeleton", F.coalesce("plain", F.lit(False)).alias("needed"))
-    return forms.where("needed or not left").select("row_key", "original", "text", "skeleton", "needed").unionByName(open_)
+    """The rows of forms (a written table with the hashes of skeletons) left open, needed if an ASCII value has the same skeleton."""
+    left = forms.where("left and not needed").drop("needed")
+    if left.isEmpty():
+        return left.withColumn("needed", F.lit(False))
+    plain = values.where(F.col("original").rlike(r"^[\x00-\x7F]+$")).select(*_hashes("original")).distinct().withColumn("plain", F.lit(True))
+    return left.join(plain, ["k1", "k2"], "left").withColumn("needed", F.coalesce("plain", F.lit(False))).drop("plain")
 
 
 def found(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """row_key of the values that needed it."""
     values = df.select(F.col(key_col).cast("string").alias("row_key"), F.col(text_col).cast("string").alias("original"))
-    odd = values.where(may_need(F.col("original"))).mapInPandas(_forms, FORMS)
-    return settled(odd, values).where("needed").select("row_key").distinct()
+    odd = values.where(may_need(F.col("original"))).mapInPandas(_forms, FORMS).where("needed or left")
+    forms = cut_table(odd.select("row_key", "needed", "left", *_hashes("skeleton")))
+    return forms.where("needed").select("row_key").unionByName(settled(forms, values).where("needed").select("row_key")).distinct()
 
 
 def look_alikes(forms: DataFrame) -> DataFrame:
