@@ -2,24 +2,28 @@
 
 A vocabulary of all words of the corpus is kept as a trie in a table: every prefix with the number of words' occurrences that run
 through it and that end there. A value whose final token runs on in the trie but hardly ever ends there stopped inside a word.
-Whether it stopped inside a sentence is read from its last line; lines that need no closing mark (headings, lists, table rows,
-links, references, Thai) count as complete unless the trie, or evidence of a fixed length at their source, speaks against it.
-Length evidence: at one source one exact length is many times as frequent as the lengths around it.
-
-Defined results: null and empty texts are no case; repeated rows count once; texts of any length are read whole for the vocabulary.
+Length evidence: at one source one exact length is many times as frequent as the lengths around it. Both kinds of evidence decide by
+themselves, whatever the end of the text looks like, except where a closing mark stands. What they leave open (cuts between words at no
+fixed length) is read from the last line: a sentence without its closing mark is cut; lines that need none (headings, lists, table
+rows, links, references, Thai) are complete.
+
+Defined results: null and empty texts are no case; white space at the end doesn't count; repeated rows count once; texts, lines and words
+of any length are read whole; a mark of a cut on a line of its own belongs to the line before; a text that is nothing but such a mark
+is no case.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.match import small
-from lectern.session import cut
+from lectern.session import cut_table
 
 # fixed values: what is put after a cut, and titles that stand before names
 MARKERS = r"(?:\s*(?:\[\s*(?:truncated|cut|more|\.\.\.|…|gekürzt|tronqué)\s*\]|\((?:truncated|cut|more|continued)\)|<(?:truncated|cut|more)>|…|\.\.\.+|\bread more\b|\[\+\d+ chars\]))+\s*$"
@@ -95,13 +99,22 @@ def tail_kind(text: str) -> tuple[str, str, str]:
 
 
 def tails(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n, kind, token, line (a digest): of the last line that isn't empty, and the one before if that is only a mark of a cut."""
+
+    def tail(lines) -> str:
+        last = lines[-1]
+        m = _marker.search(last)
+        return "\n" + (f"{lines[0]}\n{last}" if m and m.start() == 0 and len(lines) > 1 else last)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [tail_kind(t) for t in pdf["tail"]]
-            yield pdf[["doc_id", "source", "n"]].assign(kind=[k[0] for k in kinds], token=[k[1] for k in kinds], line=[k[2][:200] for k in kinds])
+            kinds = [tail_kind(tail(x)) for x in pdf["lines"]]
+            digest = [hashlib.md5(k[2].encode()).hexdigest() for k in kinds]
+            yield pdf[["doc_id", "source", "n"]].assign(kind=[k[0] for k in kinds], token=[k[1] for k in kinds], line=digest, start=[k[2] if k[0] == "open" else None for k in kinds])
 
-    ends = F.concat(F.lit("\n"), F.right(F.substring_index(F.rtrim("text"), "\n", -1), F.lit(4000)))
-    return docs.select("doc_id", "source", F.length("text").alias("n"), ends.alias("tail")).mapInPandas(run, "doc_id bigint, source string, n int, kind string, token string, line string")
+    filled = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\s\x{A0}]"))
+    ends = docs.select("doc_id", "source", F.length("text").alias("n"), F.slice(filled, -F.least(F.size(filled), F.lit(2)), 2).alias("lines"))
+    return ends.where("size(lines) > 0").mapInPandas(run, "doc_id bigint, source string, n int, kind string, token string, line string, start string")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -109,12 +122,20 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trie(vocabulary: DataFrame, prefixes: DataFrame, longest: int = 60) -> DataFrame:
-    """The trie's nodes that are asked for: token, ends (words that end there), runs_on (words that run through)."""
-    node = vocabulary.where(F.length("word") <= longest).select("n", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
-    node = node.select(F.expr("left(word, k)").alias("token"), F.when(F.col("k") == F.length("word"), F.col("n")).alias("e"), F.when(F.col("k") < F.length("word"), F.col("n")).alias("r"))
-    asked = node.join(prefixes.select("token").distinct(), "token", "left_semi")
-    return asked.groupBy("token").agg(F.coalesce(F.sum("e"), F.lit(0)).alias("ends"), F.coalesce(F.sum("r"), F.lit(0)).alias("runs_on"))
+def trie(vocabulary: DataFrame, prefixes: DataFrame, head: int = 4) -> DataFrame:
+    """The trie's nodes that are asked for: token, ends (words that end there), runs_on (words that run through).
+
+    Nodes of fewer than ``head`` characters are made of all words; deeper ones only of words that begin like one that is asked for."""
+    asked = prefixes.select("token").distinct()
+    deep = vocabulary.where(F.length("word") >= head).withColumn("h", F.left("word", F.lit(head)))
+    deep = deep.join(asked.where(F.length("token") >= head).select(F.left("token", F.lit(head)).alias("h")).distinct(), "h", "left_semi")
+    nodes = None
+    for words_, low, high in ((vocabulary, F.lit(1), F.least(F.length("word"), F.lit(head - 1))), (deep, F.lit(head), F.length("word"))):
+        node = words_.select("n", "word", F.explode(F.sequence(low, high)).alias("k"))
+        node = node.select(F.expr("left(word, k)").alias("token"), F.when(F.col("k") == F.length("word"), F.col("n")).alias("e"), F.when(F.col("k") < F.length("word"), F.col("n")).alias("r"))
+        nodes = node if nodes is None else nodes.unionByName(node)
+    counted = nodes.groupBy("token").agg(F.coalesce(F.sum("e"), F.lit(0)).alias("ends"), F.coalesce(F.sum("r"), F.lit(0)).alias("runs_on"))
+    return counted.join(asked, "token", "left_semi")
 
 
 def limits(t: DataFrame, least: int = 4, sigmas: float = 6.0, around: int = 20) -> DataFrame:
@@ -125,30 +146,37 @@ def limits(t: DataFrame, least: int = 4, sigmas: float = 6.0, around: int = 20)
     return n.withColumn("near", near).where((F.col("m") >= least) & (F.col("m") >= mean + sigmas * F.sqrt(mean + 1))).select("source", "n")
 
 
+def _begins(c: str) -> Column:
+    """The beginnings of a line, of 1, 2, 4, 8 and 16 characters."""
+    return F.filter(F.array(*[F.when(F.length(c) >= k, F.left(c, F.lit(k))) for k in (1, 2, 4, 8, 16)]), lambda x: x.isNotNull())
+
+
 def headings(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """line, heading: of the last lines asked for, whether each is a heading rather than the start of a line that was cut.
+    """line, heading: of the last lines asked for (line, a digest, and start, itself), whether each is a heading rather than the start of a
+    line that was cut.
 
     A heading stands in at least two surroundings (copies of one text are one) and text follows it at least as often as it ends a
     text, or else no other line begins with it."""
     own = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     at = docs.select(own.alias("l")).select(F.explode(F.expr("transform(l, (x, i) -> named_struct('line', x, 'before', xxhash64(get(l, if(i > 0, i - 1, 1))), 'last', i = size(l) - 1))")).alias("x"))
     at = at.select("x.*")
-    places = at.where("length(line) <= 80").join(lines, "line", "left_semi").distinct()
+    places = at.select(F.md5("line").alias("line"), "before", "last").join(lines.select("line"), "line", "left_semi").distinct()
     n = places.groupBy("line").agg(F.countDistinct("before").alias("seen"), F.sum((~F.col("last")).cast("int")).alias("followed"), F.sum(F.col("last").cast("int")).alias("ends"))
-    n = cut(n.where("seen >= 2"))
-    doubtful = n.where("followed < ends").select(F.col("line").alias("start"), F.left("line", F.lit(1)).alias("c"))
-    begun = at.where("not last").select("line", F.left("line", F.lit(1)).alias("c")).join(small(doubtful), "c").where("startswith(line, start) and line <> start").select(F.col("start").alias("line")).distinct()
+    n = cut_table(n.where("seen >= 2"))
+    doubtful = cut_table(n.where("followed < ends").join(lines, "line").select("line", "start", F.element_at(_begins("start"), -1).alias("c")))
+    others = at.where("not last").select(F.col("line").alias("whole"), F.explode(_begins("line")).alias("c"))
+    begun = others.join(small(doubtful), "c").where("startswith(whole, start) and whole <> start").select("line").distinct()
     return n.join(begun.withColumn("begun", F.lit(True)), "line", "left").select("line", F.col("begun").isNull().alias("heading"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """doc_id, source, kind, at_limit, in_word, cut: every document with a text and whether it was cut."""
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").where(F.length(F.trim("text")) > 0)
-    t = cut(tails(docs).dropDuplicates(["doc_id"]))
+    t = cut_table(tails(docs).dropDuplicates(["doc_id"]))
     open_ = t.where("kind in ('open', 'list', 'link', 'row', 'reference')")
     tokens = open_.where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("own"))
     nodes = trie(words(docs), tokens).join(tokens, "token").select("token", F.greatest(F.col("ends") - F.col("own"), F.lit(0)).alias("ends"), "runs_on")
-    lines = open_.where("kind = 'open'").select("line").distinct()
+    lines = open_.where("kind = 'open'").groupBy("line").agg(F.first("start").alias("start"))
     heads = headings(docs, lines)
     asked = t.where("kind = 'abbreviation'").select("token").distinct()
     follow = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}.\-]{1,14}\.\s+[^\s])"), 1)).alias("x"))
@@ -166,16 +194,15 @@ def truncated(documents: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     at_limit = F.coalesce("at_limit", F.lit(False))
     in_word = (F.col("token") != "") & (zero("runs_on") > 0) & (zero("ends") * 20 < zero("runs_on"))
-    heading = (F.col("kind") == "open") & F.coalesce("heading", F.lit(False)) & ~in_word & ~at_limit
+    heading = F.coalesce("heading", F.lit(False))
     verdict = (
         F.when(F.col("kind") == "cut", True)
         .when(F.col("kind") == "whole", False)
         .when(F.col("kind") == "abbreviation", (zero("times") >= 3) & (zero("mid") >= 0.9 * zero("times")))
         .when(F.col("kind") == "number", at_limit)
         .when(F.col("kind") == "thai", at_limit | (zero("chunks") < 2))
-        .when(heading, False)
-        .when(F.col("kind") == "open", True)
-        .otherwise(in_word | at_limit)
+        .when(in_word | at_limit, True)
+        .otherwise((F.col("kind") == "open") & ~heading)
     )
     return j.select("doc_id", "source", "kind", at_limit.alias("at_limit"), in_word.alias("in_word"), verdict.alias("cut"))
 

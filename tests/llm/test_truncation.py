@@ -69,3 +69,16 @@ def test_headings_and_cut_headings_that_collide(spark):
     rows += [(400 + i, body(i + 400) + "Statistical analysis") for i in range(2)]
     df = spark.createDataFrame([(i, f"s{i}", t) for i, t in rows], "doc_id bigint, source string, text string")
     assert {r.doc_id for r in truncated(df).where("cut").collect()} == {200, 201, 202, 300, 301}
+
+
+def test_nothing_is_bounded(spark):
+    """Long last lines, words and headings, white space at the end, and a mark of a cut on a line of its own."""
+    long = "a" * 70
+    listed = "Keywords: " + "; ".join(f"term{i}" for i in range(2000))
+    head = "Statistics of the second kind as they were agreed upon with all who took part in the study and beyond it"
+    rows = [(1, f"All was read.\n{listed}"), (2, f"All was read.\n{listed}; "), (3, f"It was {long}b\nNo.\n{listed}; {long}"), (4, f"{long}b was read by us all."), (5, f"{long}b, and {long}b."), (6, f"Of the {long}b and the {long}b.")]
+    rows += [(10 + i, f"Body {i} was read.\n{head}\nMore {i} was read.") for i in range(3)] + [(20 + i, f"Text {i} was read.\n{head}") for i in range(2)]
+    rows += [(30, "We read the plots and\n\n \t\n"), (31, "They read the rows and\n\n[truncated]\n"), (32, "All was read.\n\n[truncated]"), (33, "We read the plo\u00a0"), (34, "[truncated]")]
+    rows += [(40 + i, f"{w} plots and rows {w}.") for i, w in enumerate(["plots", "read", "rows"] * 9)]
+    df = spark.createDataFrame([(i, f"s{i}", t) for i, t in rows], "doc_id bigint, source string, text string")
+    assert {r.doc_id for r in truncated(df).where("cut").collect()} == {2, 3, 30, 31, 33}
