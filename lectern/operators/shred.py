@@ -5,7 +5,7 @@
 are joined with their scalar children, and the scalars are pivoted into columns.
 
 Defined results: a null, empty or unusable payload has no nodes; a byte order mark, white space or NULs around the JSON
-and JSON text kept inside a JSON string are unwrapped, however often; repeated rows count once; null list elements keep their
+and JSON text kept inside a JSON string are unwrapped, however often; nesting of any depth is read; repeated rows count once; null list elements keep their
 place but give no row; a lone object counts as a list of one; two lists of one paragraph whose names differ only in case
 or underscores are read as one list after the other; column names of the input don't matter, only the two given are read.
 """
@@ -13,13 +13,14 @@ or underscores are read as one list after the other; column names of the input d
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "record_id bigint, node int, parent int, depth int, label string, ordinal int, kind string, size int, scalar string"
+NODE_SCHEMA = "record_id bigint, node int, parent int, owner int, depth int, label string, ordinal int, kind string, size int, scalar string"
 
 PARAGRAPH_LISTS = ("abstract", "bodytext", "texts")
 
@@ -28,6 +29,54 @@ class _Pairs(list):
     """The members of a JSON object as stored: a repeated name is kept."""
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([^\s{}\[\],:"]+))', re.S)
+
+
+def parse_deep(text: str):
+    """JSON nested deeper than the parser's own stack allows; ValueError if it isn't complete JSON."""
+    root: list = []
+    stack, names, state, at = [(root, False)], [], "value", 0  # state: what may come next
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            if text[at:].strip(" \t\r\n"):
+                raise ValueError("no token")
+            break
+        at = m.end()
+        mark, quoted, word = m.groups()
+        top, is_object = stack[-1]
+        if state in ("name", "first name") and (quoted or mark == "}"):
+            if quoted:
+                names.append(json.loads(quoted, strict=False))
+                state = "colon"
+                continue
+            if state == "name":
+                raise ValueError("a comma before the end")
+        elif state == "colon" and mark == ":":
+            state = "value"
+            continue
+        elif state == "more" and mark == "," and len(stack) > 1:
+            state = "name" if is_object else "value"
+            continue
+        elif not (state in ("value", "first value") and (quoted or word or mark in ("{", "[")) or (state in ("first value", "more") and mark in ("}", "]"))):
+            raise ValueError("misplaced token")
+        if mark in ("}", "]"):
+            if len(stack) == 1 or is_object != (mark == "}"):
+                raise ValueError("misplaced end")
+            stack.pop()
+            state = "more"
+            continue
+        value = _Pairs() if mark == "{" else [] if mark == "[" else json.loads(quoted or word, strict=False)
+        top.append((names.pop(), value) if is_object else value)
+        state = "more"
+        if mark:
+            stack.append((value, mark == "{"))
+            state = "first name" if mark == "{" else "first value"
+    if len(stack) > 1 or len(root) != 1:
+        raise ValueError("not complete")
+    return root[0]
+
+
 def load_wrapped(payload: str | None):
     """The JSON value of a payload, or None if it can't be read as complete JSON."""
     value = payload
@@ -37,7 +86,12 @@ def load_wrapped(payload: str | None):
             return None
         try:
             value = json.loads(text, object_pairs_hook=_Pairs, strict=False)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                value = parse_deep(text)
+            except ValueError:
+                return None
+        except ValueError:
             return None
     return value
 
@@ -51,24 +105,24 @@ def nodes_of(record_id, payload: str | None) -> list[tuple]:
     root = load_wrapped(payload)
     if not isinstance(root, list):
         return []
-    out, stack, n = [], [(root, -1, 0, "", 0)], 0
+    out, stack, n = [], [(root, -1, -1, 0, "", 0)], 0
     while stack:
-        value, parent, depth, label, ordinal = stack.pop()
+        value, parent, owner, depth, label, ordinal = stack.pop()
         node, n = n, n + 1
         if depth <= 2 and label == "" and _is_wrapped(value):
             value = load_wrapped(value)
         if isinstance(value, _Pairs):
-            out.append((record_id, node, parent, depth, label, ordinal, "object", len(value), None))
-            stack.extend((v, node, depth + 1, k, i) for i, (k, v) in enumerate(value))
+            out.append((record_id, node, parent, owner, depth, label, ordinal, "object", len(value), None))
+            stack.extend((v, node, node, depth + 1, k, i) for i, (k, v) in enumerate(value))
         elif isinstance(value, list):
-            out.append((record_id, node, parent, depth, label, ordinal, "list", len(value), None))
-            stack.extend((v, node, depth + 1, "", i) for i, v in enumerate(value))
+            out.append((record_id, node, parent, owner, depth, label, ordinal, "list", len(value), None))
+            stack.extend((v, node, owner, depth + 1, "", i) for i, v in enumerate(value))
         elif value is None:
-            out.append((record_id, node, parent, depth, label, ordinal, "null", 0, None))
+            out.append((record_id, node, parent, owner, depth, label, ordinal, "null", 0, None))
         elif isinstance(value, str):
-            out.append((record_id, node, parent, depth, label, ordinal, "string", 0, value.encode("utf-8", "replace").decode()))
+            out.append((record_id, node, parent, owner, depth, label, ordinal, "string", 0, value.encode("utf-8", "replace").decode()))
         else:
-            out.append((record_id, node, parent, depth, label, ordinal, type(value).__name__, 0, json.dumps(value)))
+            out.append((record_id, node, parent, owner, depth, label, ordinal, type(value).__name__, 0, json.dumps(value)))
     return out
 
 
@@ -81,7 +135,7 @@ def shred_json(df: DataFrame, id_col: str = "record_id", json_col: str = "payloa
                 part = pdf.iloc[start : start + 64]
                 rows = [r for i, p in zip(part["record_id"], part["payload"]) for r in nodes_of(i, p)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")]).astype({"node": "int32", "parent": "int32", "depth": "int32", "ordinal": "int32", "size": "int32"})
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")]).astype({"node": "int32", "parent": "int32", "owner": "int32", "depth": "int32", "ordinal": "int32", "size": "int32"})
 
     src = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(json_col).alias("payload"))
     src = src.where("payload is not null and record_id is not null").dropDuplicates()
@@ -157,6 +211,19 @@ def entity_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def other_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """objects: every object of no entity table (attributes of texts, objects inside spans, lists of other names), with the object it is
+    part of; values: every scalar with the object it is part of, whatever lists lie between. Nothing of a payload is in no table."""
+    documents, paragraphs, spans = chain(nodes)
+    entities = documents.select("record_id", "node").unionByName(paragraphs.select("record_id", "node")).unionByName(spans.select("record_id", "node"))
+    objects = nodes.where("kind = 'object'").join(entities, ["record_id", "node"], "left_anti")
+    values = nodes.where("kind not in ('object', 'list', 'null')")
+    return {
+        "objects": objects.select("record_id", "node", F.col("owner").alias("parent_node"), "label", "ordinal", "depth", F.col("size").alias("n_members")),
+        "values": values.select("record_id", "node", F.col("owner").alias("parent_node"), "label", "ordinal", "kind", F.col("scalar").alias("value")),
+    }
+
+
 def span_places(nodes: DataFrame) -> DataFrame:
     """record_id, doc_no, list_name, para_no, span_kind, span_no of every span object."""
     _, _, spans = chain(nodes)

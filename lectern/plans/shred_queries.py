@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators.shred import entity_tables, shred_json, span_places
-from lectern.session import cut, table
+from lectern.operators.shred import entity_tables, other_tables, shred_json, span_places
+from lectern.session import cut_table, table
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(shred_json(table(spark, sf_dir, "corpus_json")))
+    return cut_table(shred_json(table(spark, sf_dir, "corpus_json")))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,12 @@ def _entity(name: str):
     return query
 
 
-QUERIES = {"p1_found": p1_found} | {f"p1_{name}": _entity(name) for name in ("documents", "paragraphs", "entity_spans", "ref_spans")}
+def _other(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return other_tables(_nodes(spark, sf_dir))[name]
+
+    return query
+
+
+QUERIES = {"p1_found": p1_found} | {f"p1_{name}": _entity(name) for name in ("documents", "paragraphs", "entity_spans", "ref_spans")} | {f"p1_{name}": _other(name) for name in ("objects", "values")}
 SQL: dict[str, str] = {}

@@ -1,6 +1,8 @@
 import json
 
-from lectern.operators.shred import entity_tables, load_wrapped, shred_json, span_places
+import pytest
+
+from lectern.operators.shred import _Pairs, entity_tables, load_wrapped, other_tables, parse_deep, shred_json, span_places
 
 
 def brute(record_id, payload):
@@ -70,3 +72,32 @@ def test_empty_and_two_lists_of_one_name(spark):
     df = spark.createDataFrame([(1, twice)], "record_id bigint, payload string")
     assert sorted(r.span_no for r in span_places(shred_json(df)).collect()) == [0, 1, 2]
     assert load_wrapped("nonsense") is None
+
+
+def test_nesting_of_any_depth(spark):
+    deep = '{"id": "a", "x": ' + "[" * 100_000 + '{"k": "\\u00e9\\n"}' + "]" * 100_000 + ', "texts": [{"text": "t", "entity_spans": [{"rawForm": "S"}]}]}'
+    df = spark.createDataFrame([(1, deep), (2, deep[:-1])], "record_id bigint, payload string")
+    nodes = shred_json(df)
+    assert nodes.count() > 100_000 and [tuple(r) for r in span_places(nodes).collect()] == [(1, 0, "texts", 0, "entity", 0)]
+    for good in ('[1, -2.5e3, true, null, "a\\"b", {}, [], {"a": {"b": [0]}}]', '"x"', "7"):
+        assert plain(parse_deep(good)) == json.loads(good)
+    for bad in ("[1,]", '{"a" 1}', "{1: 2}", "[1 2]", "[", "]", "", '{"a": 1,}', "[1}", "nope", '["a"', "1 2", '{"a":}'):
+        with pytest.raises(ValueError):
+            parse_deep(bad)
+
+
+def plain(v):
+    if isinstance(v, _Pairs):
+        return {k: plain(x) for k, x in v}
+    return [plain(x) for x in v] if isinstance(v, list) else v
+
+
+def test_nothing_is_left_out_of_the_tables(spark):
+    payload = {"id": "a", "other": {"p": 1}, "texts": [{"text": "t", "class_attributes": {"used": {"value": True, "score": 0.5}}, "entity_spans": [{"rawForm": "S", "attributes": [[{"version": "2"}]]}]}]}
+    nodes = shred_json(spark.createDataFrame([(1, json.dumps(payload))], "record_id bigint, payload string"))
+    tables = entity_tables(nodes) | other_tables(nodes)
+    where = {r.node: r for n in ("documents", "paragraphs", "entity_spans", "objects") for r in tables[n].collect()}
+    values = tables["values"].collect()
+    assert sorted(v.value for v in values) == sorted(["a", "1", "t", "true", "0.5", "S", "2"]) and all(v.parent_node in where for v in values)
+    objects = {r.label: r for r in tables["objects"].collect()}
+    assert set(objects) == {"other", "class_attributes", "used", ""} and objects[""].parent_node == tables["entity_spans"].first().node
