@@ -5,7 +5,8 @@ gives label posteriors, the M step ascends the gradient of the expected log post
 Items with the same labels by the same annotators have the same posterior, so the data are pre-aggregated to patterns with counts;
 each iteration maps over patterns and sums gradients per annotator with partial aggregation. An item's ease is solved within
 its row, so no state is kept between iterations. Parameters travel to the tasks by value while there are at most
-``max_inline`` annotators; beyond that they are joined to the labels and never leave the executors.
+``max_inline`` annotators; beyond that they are joined to the labels and never leave the executors. Both ways take the same steps and
+stop by the same rule, so they end with the same parameters.
 
 Defined results: passes and unreadable verdicts count for nothing; an annotator's latest verdict on an item replaces earlier
 ones (ties in time: the higher label id); a verdict without a time is the earliest; a verdict without an annotator is that of an
@@ -67,6 +68,13 @@ def _posterior(y, alpha, bias, fixed, prior, steps=12):
         ease = np.clip(ease + 0.3 * g / (1 + 0.25 * there.sum(1)), -3, 3)
 
 
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with about as many labels together (within a power of two), so that padding at most doubles them."""
+    for pdf in batches:
+        for _, part in pdf.groupby(pdf["labels"].map(lambda x: len(x).bit_length()), sort=True):
+            yield part
+
+
 def _matrices(pdf: pd.DataFrame, params: dict | None):
     n = max(1, max(map(len, pdf["labels"]), default=1))
     y = np.full((len(pdf), n), -1)
@@ -86,7 +94,7 @@ SUMS = "who string, ga double, gb double, ha double, hb double, n double"
 
 def _gradients(prior: float, params: dict | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _alike(batches):
             names, y, alpha, bias, fixed = _matrices(pdf, params)
             p, ease = _posterior(y, alpha, bias, fixed, prior)
             sign, b, times = np.where(y == 1, 1.0, -1.0), np.exp(ease)[:, None], pdf["times"].to_numpy()[:, None]
@@ -117,7 +125,7 @@ class Consensus:
 
 def _with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     """labels with the annotators' parameters, joined on the executors."""
-    ids = df.withColumn("row", F.xxhash64("labels", "fixed"))
+    ids = df.withColumn("row", F.struct(F.xxhash64("labels", "fixed").alias("h1"), F.xxhash64(F.lit(1), "fixed", "labels").alias("h2")))
     flat = ids.select("row", F.explode("labels").alias("l")).select("row", "l.*").distinct().join(params, "who")
     back = flat.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("who", "y", "alpha", "bias"))).alias("joined"))
     none = "cast(array() as array<struct<who:string,y:int,alpha:double,bias:double>>)"
@@ -145,19 +153,22 @@ def fit(items: DataFrame, iterations: int = 25, max_inline: int = 10_000, tolera
                 break
         return Consensus(inline, None, prior)
     params = cut(names.select("who", F.lit(1.0).alias("alpha"), F.lit(0.0).alias("bias")))
-    schema = "who string, alpha double, bias double, n double, yes double"
+    schema = "who string, alpha double, bias double, n double, yes double, moved double"
 
     def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             a, b = _step(pdf["alpha"].to_numpy(), pdf["bias"].to_numpy(), pdf)
-            yield pd.DataFrame({"who": pdf["who"], "alpha": a, "bias": b, "n": pdf["n"], "yes": pdf["ga"]})
+            moved = np.maximum(np.abs(a - pdf["alpha"]), np.abs(b - pdf["bias"]))
+            yield pd.DataFrame({"who": pdf["who"], "alpha": a, "bias": b, "n": pdf["n"], "yes": pdf["ga"], "moved": moved})
 
     for _ in range(iterations):
         sums = _with_params(counted, params).mapInPandas(_gradients(prior, None), SUMS).groupBy("who").agg(*[F.sum(c).alias(c) for c in ("ga", "gb", "ha", "hb", "n")])
         new = cut(sums.join(params, "who", "left").fillna({"alpha": 1.0, "bias": 0.0}).mapInPandas(update, schema))
         head = new.where(F.col("who") == "\0prior").first()
         prior = float(np.clip(head.yes / head.n, 0.01, 0.99)) if head else prior
-        params = cut(new.where(F.col("who") != "\0prior").select("who", "alpha", "bias"))
+        params = new.where(F.col("who") != "\0prior").select("who", "alpha", "bias")
+        if (new.where(F.col("who") != "\0prior").agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+            break
     return Consensus(None, params, prior)
 
 
@@ -167,7 +178,7 @@ def posteriors(items: DataFrame, model: Consensus) -> DataFrame:
     schema = "item string, n_labels int, fixed int, p_yes double, difficulty double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _alike(batches):
             _, y, alpha, bias, fixed = _matrices(pdf, inline)
             p, ease = _posterior(y, alpha, bias, fixed, prior)
             yield pd.DataFrame({"item": pdf["item"], "n_labels": (y >= 0).sum(1).astype("int32"), "fixed": pdf["fixed"], "p_yes": p, "difficulty": np.exp(-ease)})

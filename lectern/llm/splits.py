@@ -5,8 +5,8 @@ all seeds are expanded at once, frontier by frontier; a vertex reached from seve
 between different labels are the collisions, which form the smaller graph of the next level. The hashes make a level
 shrink the graph by a constant factor, so levels are logarithmic in the longest chain, whatever its order of ids.
 
-A key shared by many rows (up to a third of all) is tied by stars of two levels: rows to the smallest of their salt, those to
-the smallest of the key; no pairs are made. Nothing is collected to the driver but counts.
+A key shared by many rows (up to a third of all) is tied by stars of several levels, each of bounded width: rows to the smallest of
+their salt, those to the smallest of a wider salt, up to the smallest of the key; no pairs are made. Nothing is collected to the driver but counts.
 
 Defined results: null keys and null words tie nothing; rows repeated in all columns count once; a row without ties is a
 group of its own; an empty table gives empty tables; only the named columns are read.
@@ -14,6 +14,8 @@ group of its own; an empty table gives empty tables; only the named columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,20 @@ from lectern.session import cut
 DOCUMENT_KEYS = {"id": corpus_key, "doi": doi_key, "pmc": pmc_key, "corresp_author": author_key}
 
 
-def key_edges(df: DataFrame, id_col: str, keys: dict[str, Column], salts: int = 64) -> DataFrame:
-    """Star edges a > b between rows that share a key's value; linear in the rows."""
+def key_edges(df: DataFrame, id_col: str, keys: dict[str, Column], fan: int = 1024) -> DataFrame:
+    """Star edges a > b between rows that share a key's value; linear in the rows, and no row has more than about ``fan`` of a key.
+
+    Rows with one key are tied to the least of their salt, those to the least of the wider salt, up to that of the key; the number
+    of such levels follows from the most frequent key. Keys are compared by kind and value."""
     kinds = F.array(*[F.struct(F.lit(n).alias("kind"), c.alias("value")) for n, c in keys.items()])
-    ties = df.select(F.col(id_col).alias("v"), F.explode(kinds).alias("k")).select("v", F.xxhash64("k.kind", "k.value").alias("key"), "k.value")
-    ties = ties.where("value is not null and v is not null").select("v", "key", F.pmod(F.xxhash64("v"), F.lit(salts)).alias("salt"))
-    near = ties.withColumn("rep", F.min("v").over(Window.partitionBy("key", "salt")))
-    reps = ties.groupBy("key", "salt").agg(F.min("v").alias("rep")).groupBy("key").agg(F.collect_list("rep").alias("reps")).where("size(reps) > 1")
-    reps = reps.select(F.array_min("reps").alias("b"), F.explode("reps").alias("a"))
-    return near.select(F.col("v").alias("a"), F.col("rep").alias("b")).unionByName(reps.select("a", "b")).where("a <> b").distinct()
+    ties = df.select(F.col(id_col).alias("v"), F.explode(kinds).alias("k")).select("v", "k.kind", "k.value").where("value is not null and v is not null")
+    most = ties.groupBy("kind", "value").count().agg(F.max("count")).first()[0] or 0
+    edges, level = None, ties.distinct().withColumn("salt", F.xxhash64("v"))
+    for wide in [fan**n for n in range(math.ceil(math.log(max(most, 2), fan)) - 1, -1, -1)]:
+        level = level.withColumn("salt", F.pmod("salt", F.lit(wide))).withColumn("rep", F.min("v").over(Window.partitionBy("kind", "value", "salt")))
+        own = level.where("v <> rep").select(F.col("v").alias("a"), F.col("rep").alias("b"))
+        edges, level = own if edges is None else edges.unionByName(own), level.where("v = rep").drop("rep")
+    return edges.distinct()
 
 
 def _level(edges: DataFrame, rounds: int) -> DataFrame:

@@ -17,7 +17,7 @@ def test_recovers_truth_better_than_majority(spark):
     v = spark.createDataFrame(votes, "item string, who string, y int")
     items = C.patterns(v, spark.createDataFrame([("s0", 1), ("s1", 0)], "item string, fixed int"))
     for inline in (10_000, 1):
-        model = C.fit(items, max_inline=inline, iterations=25 if inline > 1 else 3)
+        model = C.fit(items, max_inline=inline, iterations=4)
         got = {r.item: r for r in C.posteriors(items, model).collect()}
         assert got["s0"].consensus is True and got["s1"].consensus is False
         right = sum(got[i].consensus == bool(z) for i, z in truth.items()) / len(truth)
@@ -26,6 +26,10 @@ def test_recovers_truth_better_than_majority(spark):
             by.setdefault(i, []).append(y)
         majority = sum((sum(by[i]) >= 2) == z for i, z in truth.items()) / len(truth)
         assert right > majority
+    one, other = (C.fit(items, max_inline=n, iterations=3) for n in (10_000, 1))
+    for r in other.params.collect():
+        assert abs(one.inline[r.who][0] - r.alpha) < 1e-9 and abs(one.inline[r.who][1] - r.bias) < 1e-9
+    assert abs(one.prior - other.prior) < 1e-9
     table = {r.who: r for r in C.reliability(v, C.posteriors(items, C.fit(items)), C.fit(items)).collect()}
     assert table["a1"].skill > table["coin"].skill > table["liar"].skill and table["a1"].kappa > 0.6
 
@@ -44,3 +48,10 @@ def test_agreement_and_empty(spark):
     none = v.where("y > 5")
     items = C.patterns(none, spark.createDataFrame([], "item string, fixed int"))
     assert C.posteriors(items, C.fit(items)).count() == 0
+
+
+def test_an_item_with_very_many_labels(spark):
+    votes = [("many", f"w{i}", int(i % 3 > 0)) for i in range(3000)] + [(f"i{k}", f"w{j}", k % 2) for k in range(20) for j in range(3)]
+    items = C.patterns(spark.createDataFrame(votes, "item string, who string, y int"), spark.createDataFrame([], "item string, fixed int"))
+    got = {r.item: r.consensus for r in C.posteriors(items, C.fit(items, iterations=2)).collect()}
+    assert got["many"] is True and got["i0"] is False and got["i1"] is True

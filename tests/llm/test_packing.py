@@ -43,3 +43,10 @@ def test_all_three_limits_hold():
     container, place = fill(sizes, limits)
     for k in range(container.max() + 1):
         assert (sizes[container == k].sum(0) <= limits).all() and sorted(place[container == k]) == list(range((container == k).sum()))
+
+
+def test_each_limit_can_be_the_tight_one(spark):
+    """Tokens, segments and loss-bearing tokens in turn."""
+    docs = spark.createDataFrame([(i, " ".join("w" for _ in range(10))) for i in range(300)], "doc_id bigint, text string")
+    per = lambda **x: pack(docs, [(1, 190)], group_size=300, **x).groupBy("container_id").count().agg(F.max("count")).first()[0]
+    assert per() == 10 and per(max_segments=4) == 4 and per(loss_share=0.35) == 6

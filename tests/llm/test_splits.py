@@ -42,6 +42,8 @@ def test_one_key_holding_a_third_and_splits(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).alias("k"), F.concat(F.lit("g"), (F.col("id") / 4).cast("int")).alias("doc"), F.lit(1).alias("v"))
     edges = key_edges(df, "doc_id", {"k": F.col("k")})
     assert edges.count() < 1100
+    narrow = key_edges(df, "doc_id", {"k": F.col("k")}, fan=8)
+    assert narrow.groupBy("b").count().agg(F.max("count")).first()[0] < 60 and components(narrow).select("component").distinct().count() == 1
     keys = {"k": lambda c: c}
     assert related(df, "doc_id", keys).select("component").distinct().count() == 1
     out = assign_splits(df, "doc_id", {"k": lambda c: c}).groupBy("split").count().collect()
