@@ -3,7 +3,8 @@
 One pass over the texts emits possible boundaries with their context and counts of word types with and without a final period; all
 else is joins and aggregates over that table. Log-likelihood ratios turn the counts into abbreviations (a type that has its period more
 often than chance), sentence starters (a capitalised type that follows boundaries more often than capitalised types do) and
-collocations (a type with its period and the next word that follow each other more often than either does elsewhere). Boundaries
+collocations (an abbreviation, initial or number with its period and the next word that follow each other more often than either does
+elsewhere). Boundaries
 that a mark alone decides never meet the learned tables; the others are joined to them, classified, and zipped into spans.
 
 A text without a language gets the one whose word types it shares (by likelihood, from the texts that have one); which characters it is
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.confusables import skeleton
-from lectern.operators.match import small
 from lectern.session import cut_table
 
 OPEN = "([{（［【「『“„«‹〈《‘‚"
@@ -45,8 +45,8 @@ _marked = re.compile(rf"(?<!\S)[^\s{re.escape(END)}…]*[{re.escape(END)}…]\S*
 _quotes = re.compile(f"[{re.escape(''.join(PAIRS) + ''.join(PAIRS.values()) + chr(34) + '”')}]")
 _scripts = [(name, re.compile(x)) for name, x in (("ja", "[぀-ヿ]"), ("zh", "[㐀-鿿]"), ("th", "[฀-๿]"))]
 CASELESS = ("zh", "ja", "th", "ar", "hi")
-#: least log-likelihood ratios of starters and of collocations (chances of one in twenty and one in two hundred)
-LEAST_STARTER, LEAST_COLLOCATION = 3.84, 7.88
+#: least log-likelihood ratios of starters and of collocations (chances of one in twenty and one in a thousand)
+LEAST_STARTER, LEAST_COLLOCATION = 3.84, 10.83
 
 
 def manner(text: str, lang: str | None) -> str:
@@ -259,6 +259,7 @@ def with_language(found: DataFrame) -> DataFrame:
     scored = hit.groupBy("id", "lang").agg(F.sum(F.log1p(2 * F.col("c"))).alias("s"), F.max(F.log(2 * F.col("all") + 1)).alias("l"))
     n = own.groupBy("id").agg(F.count(F.lit(1)).alias("words"))
     likely = scored.join(n, "id").groupBy("id").agg(F.max_by("lang", F.struct(F.col("s") - F.col("words") * F.col("l"), "lang")).alias("guess"))
+    likely = cut_table(likely)
     rest = found.where("lang is null").join(likely, "id", "left").withColumn("lang", F.coalesce("guess", F.lit("und"))).drop("guess")
     return found.where("lang is not null").unionByName(rest.select(*found.columns))
 
@@ -279,6 +280,8 @@ class Model:
     """abbreviations(lang, tok, start_share), starters(lang, nxt), collocations(lang, tok, nxt), heads(lang, tok); written tables."""
 
     def __init__(self, found: DataFrame):
+        """All is learned from one written table of counts."""
+        found = cut_table(found.where("kind not in ('whole', 'glued', 'quote', 'ellipsis')").groupBy("lang", "kind", "tok", "nxt", "case").agg(F.sum("n").alias("n")))
         n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
         types = found.where("kind = 'type'").groupBy("lang", "tok").agg(n(F.col("case") == ".").alias("w"), F.sum("n").alias("c"))
         totals = types.groupBy("lang").agg(F.sum("w").alias("periods"), F.sum("c").alias("all"))
@@ -294,12 +297,11 @@ class Model:
         abbr = types.where("tok <> '' and tok <> '##' and w > 0").join(F.broadcast(totals), "lang")  # one row a language
         abbr = cut_table(abbr.where((F.when(often, rare_score).otherwise(score) >= 0.3) & F.col("tok").rlike(r"\p{L}")).select("lang", "tok"))
         upper = found.where("kind = 'upper'").groupBy("lang", F.col("tok").alias("nxt")).agg(F.sum("n").alias("total"))
-        pairs = found.where("kind in ('period', 'initial', 'number', 'sure') and nxt <> ''").groupBy("lang", "kind", "tok", "nxt", "case").agg(F.sum("n").alias("n"))
-        pairs = cut_table(pairs)
+        pairs = found.where("kind in ('period', 'initial', 'number', 'sure') and nxt <> ''")
         after_period = pairs.where("kind in ('period', 'initial')")
 
         def begin(abbreviated: DataFrame) -> DataFrame:
-            plain = pairs.where("kind = 'period' and case = 'upper'").join(small(abbreviated.select("lang", "tok")), ["lang", "tok"], "left_anti")
+            plain = pairs.where("kind = 'period' and case = 'upper'").join(abbreviated.select("lang", "tok"), ["lang", "tok"], "left_anti")
             sure = pairs.where("kind = 'sure' and case = 'upper'")
             begins = plain.select("lang", "nxt", "n").unionByName(sure.select("lang", "nxt", "n")).groupBy("lang", "nxt").agg(F.sum("n").alias("begins"))
             j = upper.join(begins, ["lang", "nxt"], "left").fillna({"begins": 0}).withColumn("begins", F.least("begins", "total"))
@@ -309,7 +311,7 @@ class Model:
             return j.where((F.col("nxt") != "") & more & (ratio(F.col("begins"), F.col("total"), *others) >= LEAST_STARTER)).select("lang", "nxt")
 
         def followers(starters: DataFrame) -> DataFrame:
-            j = after_period.join(small(starters.withColumn("s", F.lit(1))), ["lang", "nxt"], "left")
+            j = after_period.join(starters.withColumn("s", F.lit(1)), ["lang", "nxt"], "left")
             return j.groupBy("lang", "tok").agg((n((F.col("s") == 1) & (F.col("case") == "upper")) / F.sum("n")).alias("start_share"))
 
         # what only sentence starters follow ends sentences, however rare it is elsewhere; both lists are learned twice
@@ -319,9 +321,9 @@ class Model:
         followed = pairs.where("kind <> 'sure' and case = 'upper'")
         ab = followed.groupBy("lang", "tok", "nxt").agg(F.sum("n").alias("k"))
         a, b, t = (ab.groupBy(*keys).agg(F.sum("k").alias(name)) for keys, name in ((["lang", "tok"], "ka"), (["lang", "nxt"], "kb"), (["lang"], "kt")))
-        j = ab.where("k > 1").join(a, ["lang", "tok"]).join(b, ["lang", "nxt"]).join(F.broadcast(t), "lang").join(small(self.starters), ["lang", "nxt"], "left_anti")
+        j = ab.where("k > 1").join(a, ["lang", "tok"]).join(b, ["lang", "nxt"]).join(F.broadcast(t), "lang").join(self.starters, ["lang", "nxt"], "left_anti").join(upper, ["lang", "nxt"])
         k, ka, kb, kt = (F.col(x) for x in ("k", "ka", "kb", "kt"))
-        self.collocations = cut_table(j.where((k * kt > ka * kb) & (ratio(k, ka, kb - k, kt - ka) >= LEAST_COLLOCATION)).select("lang", "tok", "nxt"))
+        self.collocations = cut_table(j.where((k * kt > ka * kb) & (k > 0.3 * F.col("total")) & (ratio(k, ka, kb - k, kt - ka) >= LEAST_COLLOCATION)).select("lang", "tok", "nxt"))
         lines = found.where("kind = 'head'").groupBy("lang", "tok", "nxt").agg(F.bool_or(F.col("case") != "lower").alias("up"), F.sum("n").alias("n"))
         lines = lines.groupBy("lang", "tok").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.sum(F.when(F.col("up"), F.col("n")).otherwise(0)).alias("u"))
         self.heads = cut_table(lines.where("m >= 3 and u >= 0.75 * all").select("lang", "tok"))
@@ -342,18 +344,18 @@ def classify(found: DataFrame, m: Model) -> DataFrame:
     boundaries = found.where("kind not in ('whole', 'head', 'type', 'upper')")
     sure = boundaries.where("kind = 'sure'").select("id", "end", "next")
     open_ = boundaries.where("kind <> 'sure'").where((F.col("kind").isin("number", "period")) | upper)
-    j = open_.join(small(m.abbreviations.withColumn("abbr", yes)), ["lang", "tok"], "left").join(small(m.starters.withColumn("starts", yes)), ["lang", "nxt"], "left")
-    j = j.join(small(m.collocations.withColumn("tied", yes)), ["lang", "tok", "nxt"], "left")
+    j = open_.join(m.abbreviations.withColumn("abbr", yes), ["lang", "tok"], "left").join(m.starters.withColumn("starts", yes), ["lang", "nxt"], "left")
+    j = j.join(m.collocations.withColumn("tied", yes), ["lang", "tok", "nxt"], "left")
     begins = flag("starts") | (F.coalesce(F.col("start_share"), F.lit(0.0)) > 0.5)
     ok = (
         F.when(F.col("kind").isin("quote", "glued", "ellipsis"), upper & flag("starts"))
-        .when(flag("tied"), False)
+        .when(flag("tied") & (flag("abbr") | F.col("kind").isin("initial", "number")), False)
         .when(F.col("kind") == "initial", upper & begins)
         .when(F.col("kind") == "number", upper | (F.col("case") == "mark") | caseless)
         .when(flag("abbr"), upper & begins)
         .otherwise((F.col("case") != "ref") & ~(lower & (F.length("tok") == 1)))
     )
-    heads = found.where("kind = 'head' and case <> 'lower'").join(small(m.heads), ["lang", "tok"], "left_semi")
+    heads = found.where("kind = 'head' and case <> 'lower'").join(m.heads, ["lang", "tok"], "left_semi")
     around = F.explode(F.array(F.struct(F.col("prev").alias("end"), F.col("start").alias("next")), F.struct("end", "next"))).alias("x")
     return sure.unionByName(j.where(ok).select("id", "end", "next")).unionByName(heads.select("id", around).select("id", "x.*"))
 
