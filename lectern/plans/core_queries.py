@@ -95,66 +95,70 @@ def context_window_features(t):
 # normalisation
 
 
-def _raw(t, kind: str) -> DataFrame:
-    return t("entity_spans").where((F.col("entity_type") == kind) & F.col("raw_form").rlike(r"^[\x20-\x7E]+$")).select("raw_form").distinct()
-
-
-RAW = "r AS (SELECT DISTINCT raw_form FROM entity_spans WHERE entity_type = '{}' AND regexp_full_match(raw_form, '[\\x20-\\x7E]+'))"
-SQUEEZE = r"trim(regexp_replace(raw_form, '[ \t\r\n]+', ' ', 'g'))"
-
-
-@query(f"WITH {RAW.format('version')}, a AS (SELECT raw_form, regexp_replace(trim({SQUEEZE}, '()[] '), '^(?i:version(s)?|ver-sion(s)?|ver|v|release(s)?|build)\\s?\\.?\\s?', '') AS x FROM r) SELECT raw_form, trim(regexp_replace(trim(x), '(?i:version(s)?|ver|release(s)?)$', ''), '. ') AS normalized FROM a")
-def normalize_version(t):
-    return _raw(t, "version").select("raw_form", normalize.version(F.col("raw_form")).alias("normalized"))
-
-
-@query(f"WITH {RAW.format('publisher')}, a AS (SELECT raw_form, trim({SQUEEZE}, '()[],; ') AS x FROM r), b AS (SELECT raw_form, x, regexp_extract(x, '^(.*?\\b(?i:inc|corp|corporation|ltd|llc|gmbh|ag|s\\.a|co)\\b\\.?)', 1) AS h FROM a) SELECT raw_form, CASE WHEN h <> '' THEN h ELSE x END AS normalized FROM b")
-def normalize_creator(t):
-    return _raw(t, "publisher").select("raw_form", normalize.creator(F.col("raw_form")).alias("normalized"))
-
-
-@query(f"""WITH {RAW.format('url')}, a AS (SELECT raw_form, regexp_extract(trim({SQUEEZE}, '()[],;."'' '), '(https?://.*)$', 1) AS f FROM r) SELECT raw_form, CASE WHEN f <> '' THEN trim(replace(f, ' ', ''), '()[],;."''') ELSE raw_form END AS normalized FROM a""")
-def normalize_url(t):
-    return _raw(t, "url").select("raw_form", normalize.url(F.col("raw_form")).alias("normalized"))
+def _forms(t, kind: str) -> DataFrame:
+    return t("entity_spans").where(F.col("entity_type") == kind).select("raw_form").distinct()
 
 
-@query(f"""WITH {RAW.format('software')} SELECT raw_form, trim({SQUEEZE}, '()[]{{}},;.:"'' ') AS normalized, lower(regexp_replace(raw_form, '[^a-zA-Z0-9]', '', 'g')) AS simple, lower(regexp_replace(raw_form, '[^a-zA-Z]', '', 'g')) AS letters, regexp_replace(raw_form, '([a-z])([A-Z])', '\\1 \\2', 'g') AS words, substr(sha256(raw_form), 1, 10) AS key FROM r""")
-def normalize_name(t):
-    c = F.col("raw_form")
-    return _raw(t, "software").select("raw_form", normalize.software_name(c).alias("normalized"), normalize.simplified(c).alias("simple"), normalize.simplified_letters(c).alias("letters"), normalize.split_camel(c).alias("words"), normalize.stable_key(c).alias("key"))
+def _sql_blanks(c: str, breaks: str = r"\n") -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[{breaks}\\x{{85}}\\p{{Z}}]', ' ', 'g'), ' +', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
 
 
-# the same of all raw forms, of any characters, empty ones and null: the queries above have the part that their SQL can tell
+RAW = "r AS (SELECT DISTINCT raw_form FROM entity_spans WHERE entity_type = '{}')"
+MARKS = normalize.FIELD_MARKS.replace("'", "''")
+ADDRESSES = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in normalize.ADDRESSES) + "]"
 
 
-def _forms(t, kind: str) -> DataFrame:
-    return t("entity_spans").where(F.col("entity_type") == kind).select("raw_form").distinct()
+def _golden(name: str, cases: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS field, '{k}' AS input, '{v}' AS expected" for k, v in cases.items())
 
 
-@query()
-def normalize_version_all(t):
+@query(f"WITH {RAW.format('version')}, a AS (SELECT raw_form, regexp_replace(trim({_sql_blanks('raw_form')}, '()[]'), '{normalize.VERSION_HEAD}', '') AS x FROM r) SELECT raw_form, {_sql_blanks(f"trim(regexp_replace(x, '{normalize.VERSION_TAIL}', ''), '.')")} AS normalized FROM a")
+def normalize_version(t):
     return _forms(t, "version").select("raw_form", normalize.version(F.col("raw_form")).alias("normalized"))
 
 
-@query()
-def normalize_creator_all(t):
+@query(f"WITH {RAW.format('publisher')}, a AS (SELECT raw_form, trim({_sql_blanks('raw_form', '\\n\\t')}, '{MARKS}') AS x FROM r), b AS (SELECT raw_form, x, regexp_extract(x, '{normalize.COMPANY}', 1) AS h FROM a) SELECT raw_form, trim(list_reduce(list_prepend(CASE WHEN h <> '' THEN h ELSE x END, {ADDRESSES}), lambda c, a: CASE WHEN ends_with(c, a) THEN replace(c, a, '') ELSE c END)) AS normalized FROM b")
+def normalize_creator(t):
     return _forms(t, "publisher").select("raw_form", normalize.creator(F.col("raw_form")).alias("normalized"))
 
 
-@query()
-def normalize_url_all(t):
+@query(f"WITH {RAW.format('url')}, a AS (SELECT raw_form, trim({_sql_blanks('raw_form')}, '{MARKS}') AS x FROM r), b AS (SELECT raw_form, x, regexp_extract(x, '{normalize.URL}', 1) AS f FROM a) SELECT raw_form, CASE WHEN f <> '' THEN replace(f, ' ', '') ELSE x END AS normalized FROM b")
+def normalize_url(t):
     return _forms(t, "url").select("raw_form", normalize.url(F.col("raw_form")).alias("normalized"))
 
 
-@query()
-def normalize_name_all(t):
+@query(f"""WITH {RAW.format('software')} SELECT raw_form, {_sql_blanks(f"trim({_sql_blanks('raw_form')}, '{MARKS}')")} AS normalized, lower(regexp_replace(coalesce(raw_form, ''), '[^a-zA-Z0-9]', '', 'g')) AS simple, lower(regexp_replace(coalesce(raw_form, ''), '[^a-zA-Z]', '', 'g')) AS letters, regexp_replace(raw_form, '(\\p{{Ll}})(\\p{{Lu}})', '\\1 \\2', 'g') AS words, substr(sha256(raw_form), 1, 10) AS key FROM r""")
+def normalize_name(t):
     c = F.col("raw_form")
     return _forms(t, "software").select("raw_form", normalize.software_name(c).alias("normalized"), normalize.simplified(c).alias("simple"), normalize.simplified_letters(c).alias("letters"), normalize.split_camel(c).alias("words"), normalize.stable_key(c).alias("key"))
 
 
-@query(f"WITH {TEXTS}, g AS (SELECT lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS signature, count(*) AS n, min(text_id) AS first_id FROM t GROUP BY 1) SELECT md5(signature) AS signature, n, first_id FROM g WHERE n > 1")
+# fixed values: expected forms of the published test cases
+GOLDEN = {
+    "version": {"version 1.1": "1.1", "Version 5.0    ": "5.0", "1.31 version": "1.31", "v.9.3": "9.3", "v0.9.6": "0.9.6", "ver.12.0": "12.0", "ver.13 ": "13", "release  1.31": "1.31"},
+    "url": {
+        "(code available at http:// goddardlab.auckland.ac.nz/data-and-code/)": "http://goddardlab.auckland.ac.nz/data-and-code/",
+        "(http://www.superarray.com/ pcr/arrayanalysis.php),": "http://www.superarray.com/pcr/arrayanalysis.php",
+        "http:// biomoby.open-bio.org/CVS_CONTENT/moby-live/Java/docs/ Moses-generators.html": "http://biomoby.open-bio.org/CVS_CONTENT/moby-live/Java/docs/Moses-generators.html",
+        "random.org": "random.org",
+    },
+    "creator": {"SPSS Inc., Chicago IL, USA": "SPSS Inc.", "(Bruker Corporation, Santa Barbara, CA, USA)": "Bruker Corporation", "IBM Corporation": "IBM Corporation", "STATA Corp LP. Package": "STATA Corp"},
+}
+
+
+@query(" UNION ALL ".join(_golden(k, v) for k, v in GOLDEN.items()))
+def normalize_golden(t):
+    """The published cases, normalised here; the SQL holds what is expected."""
+    rows = [(k, x) for k, cases in GOLDEN.items() for x in cases]
+    df = t("software_names").sparkSession.createDataFrame(rows, "field string, input string")
+    c = F.col("input")
+    form = F.when(F.col("field") == "version", normalize.version(c)).when(F.col("field") == "url", normalize.url(c)).otherwise(normalize.creator(c))
+    return df.select("field", "input", form.alias("expected"))
+
+
+@query(f"WITH {TEXTS}, g AS (SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS signature, count(*) AS n, min(text_id) AS first_id FROM t GROUP BY 1) SELECT md5(signature) AS signature, n, first_id FROM g WHERE n > 1")
 def signature_copies(t):
-    g = _texts(t).groupBy(F.md5(normalize.simplified(F.col("text"))).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("first_id"))
+    g = _texts(t).groupBy(F.md5(normalize.signature(F.col("text"))).alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("first_id"))
     return g.where("n > 1")
 
 
@@ -313,13 +317,11 @@ def hyphen_fragments(t):
 # corpus
 
 
-@query(f"WITH {TEXTS}, {SPANS} SELECT entity_type, raw_form, count(DISTINCT t.id) AS n_docs, count(*) AS n, array_to_string(list_sort(list(DISTINCT t.id))[1:3], ',') AS first_docs FROM s JOIN t USING (text_id) GROUP BY ALL")
+@query(f"WITH {TEXTS}, {SPANS} SELECT entity_type, raw_form, t.id AS doc, count(*) AS n, any_value({_sql_blanks(f"trim({_sql_blanks('raw_form')}, '{MARKS}')")}) AS normalized FROM s JOIN t USING (text_id) GROUP BY 1, 2, 3")
 def mention_docs(t):
-    m = _spans(t).join(_texts(t).select("text_id", "id"), "text_id")
-    per = m.groupBy("entity_type", "raw_form", "id").agg(F.count(F.lit(1)).alias("k"))
-    # the three smallest ids without holding all of a frequent name's documents at once
-    g = per.groupBy("entity_type", "raw_form", F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt")).agg(F.count(F.lit(1)).alias("d"), F.sum("k").alias("k"), F.slice(F.array_sort(F.collect_list("id")), 1, 3).alias("f"))
-    return g.groupBy("entity_type", "raw_form").agg(F.sum("d").alias("n_docs"), F.sum("k").alias("n"), F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("f"))), 1, 3), ",").alias("first_docs"))
+    """The documents of every value of every field, one a row, and the value's normal form."""
+    m = _spans(t).join(_texts(t).select("text_id", F.col("id").alias("doc")), "text_id")
+    return m.groupBy("entity_type", "raw_form", "doc").agg(F.count(F.lit(1)).alias("n")).withColumn("normalized", normalize.software_name(F.col("raw_form")))
 
 
 @query("SELECT coalesce(lang, '-') AS article_set, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY 1")
@@ -346,22 +348,28 @@ def _votes(t) -> DataFrame:
     return t("usage_labels").select(F.col("span_id").alias("item"), who.alias("who"), value.alias("value")).distinct()
 
 
+def _per_document(t) -> DataFrame:
+    """doc, who, n: verdicts of each annotator on each document."""
+    at = _spans(t).select(F.col("span_id").alias("item"), "text_id").distinct().join(_texts(t).select("text_id", F.col("id").alias("doc")), "text_id")
+    return _votes(t).join(at, "item").groupBy("doc", "who").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {VOTES}, p AS (SELECT 'used' AS field, CASE WHEN a.value = b.value THEN 1 ELSE 0 END AS same FROM v a JOIN v b ON a.item = b.item AND a.who < b.who WHERE a.value IS NOT NULL AND b.value IS NOT NULL), g AS (SELECT field, sum(same) AS k, count(*) AS n FROM p GROUP BY 1) SELECT field, CAST(k AS BIGINT) AS agreements, n AS samples, round(k / n, 9) AS rate, round(sqrt(k / n * (1 - k / n)) / n, 9) AS std_error_ref, round(sqrt(k / n * (1 - k / n)) / sqrt(n), 9) AS std_error, round(k / n - 1.96 * sqrt(k / n * (1 - k / n)) / sqrt(n), 9) AS low, round(k / n + 1.96 * sqrt(k / n * (1 - k / n)) / sqrt(n), 9) AS high FROM g")
 def annotator_agreement(t):
     a = corpus.agreement(_votes(t).where("value is not null").withColumn("field", F.lit("used")), "item", "who", "field", "value")
     return a.select("field", "agreements", "samples", *[F.round(c, 9).alias(c) for c in ("rate", "std_error_ref", "std_error", "low", "high")])
 
 
-@query(f"WITH {VOTES}, d AS (SELECT split_part(item, '-', 1) AS doc, who, count(*) AS n FROM v GROUP BY ALL) SELECT doc, who, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, who) AS r FROM d) WHERE r = 1")
+@query(f"WITH {TEXTS}, {VOTES}, d AS (SELECT t.id AS doc, who, count(*) AS n FROM v JOIN (SELECT DISTINCT span_id, text_id FROM entity_spans) e ON e.span_id = v.item JOIN t USING (text_id) GROUP BY ALL) SELECT doc, who, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, who) AS r FROM d) WHERE r = 1")
 def most_productive(t):
-    d = _votes(t).groupBy(F.split_part("item", F.lit("-"), F.lit(1)).alias("doc"), "who").agg(F.count(F.lit(1)).alias("n"))
+    d = _per_document(t)
     best = d.groupBy("doc").agg(F.min(F.struct((-F.col("n")).alias("m"), "who", "n")).alias("b"))
     return best.select("doc", "b.who", "b.n")
 
 
-@query(f"WITH {VOTES}, d AS (SELECT split_part(item, '-', 1) AS doc, who, count(*) AS n FROM v GROUP BY ALL) SELECT CAST(sum(m) AS BIGINT) AS largest_run FROM (SELECT doc, max(n) AS m FROM d GROUP BY 1)")
+@query(f"WITH {TEXTS}, {VOTES}, d AS (SELECT t.id AS doc, who, count(*) AS n FROM v JOIN (SELECT DISTINCT span_id, text_id FROM entity_spans) e ON e.span_id = v.item JOIN t USING (text_id) GROUP BY ALL) SELECT CAST(sum(m) AS BIGINT) AS largest_run FROM (SELECT doc, max(n) AS m FROM d GROUP BY 1)")
 def largest_run(t):
-    return corpus.largest_run(_votes(t).groupBy(F.split_part("item", F.lit("-"), F.lit(1)).alias("doc"), "who").agg(F.count(F.lit(1)).alias("n")), "doc", "n")
+    return corpus.largest_run(_per_document(t), "doc", "n")
 
 
 @query("SELECT span_id, " + ", ".join(f"max_by(used, {{'a': labelled_at, 'b': label_id}}) FILTER (WHERE used IS NOT NULL AND lower(replace(replace(resp, '#', ''), ' ', '')) = 'annotator{i}') AS annotator{i}" for i in (2, 10, 22)) + " FROM usage_labels GROUP BY 1")

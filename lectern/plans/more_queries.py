@@ -56,11 +56,20 @@ def overlapping_spans(t):
     return hit.select(F.col("a.span_id").alias("left_id"), F.col("b.span_id").alias("right_id"))
 
 
-@query(f"WITH {TEXTS}, {SPANS}, c AS (SELECT span_id, start_pos, d, abs(d) AS m FROM s JOIN t USING (text_id), (SELECT unnest(generate_series(-3, 3)) AS d) WHERE start_pos + d >= 0 AND substr(text, CAST(start_pos + d + 1 AS BIGINT), length(raw_form)) = raw_form) SELECT span_id, CAST(min_by(d, m * 10 + CASE WHEN d > 0 THEN 1 ELSE 0 END) AS BIGINT) AS shift FROM c GROUP BY 1")
+@query(f"WITH {TEXTS}, {SPANS}, p AS (SELECT span_id, start_pos, raw_form, text, string_split(text, raw_form) AS parts FROM s JOIN t USING (text_id) WHERE raw_form <> ''), o AS (SELECT span_id, start_pos, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(raw_form) AS pl FROM (SELECT *, unnest(generate_series(1, len(parts) - 1)) AS i FROM p)) SELECT span_id, CAST(min_by(pl - start_pos, abs(pl - start_pos) * 2 + CASE WHEN pl > start_pos THEN 1 ELSE 0 END) AS BIGINT) AS shift FROM o GROUP BY 1")
 def reanchored_spans(t):
-    j = _spans(t).where("raw_form is not null").join(_texts(t).select("text_id", "text"), "text_id").withColumn("d", F.explode(F.sequence(F.lit(-3), F.lit(3))))
-    hit = j.where("start_pos + d >= 0 and substring(text, start_pos + d + 1, length(raw_form)) = raw_form")
-    return hit.groupBy("span_id").agg(F.min_by("d", F.abs("d") * 10 + F.when(F.col("d") > 0, 1).otherwise(0)).alias("shift"))
+    """How far each span's text stands from its offsets: the nearest of all its occurrences, the one before if two are as near."""
+    j = _spans(t).where("raw_form <> ''").join(_texts(t).select("text_id", "text"), "text_id")
+    parts = F.expr("split(text, concat('\\\\Q', raw_form, '\\\\E'), -1)")
+    j = j.select("span_id", "start_pos", F.length("raw_form").alias("n"), F.transform(parts, F.length).alias("lengths")).where("size(lengths) > 1")
+    at = F.aggregate(F.slice("lengths", F.lit(1), F.size("lengths") - 1), F.struct(F.lit(0).alias("upto"), F.lit(None).cast("int").alias("best")), _nearer)
+    return j.select("span_id", at["best"].alias("shift")).distinct()
+
+
+def _nearer(acc, length):
+    d = acc["upto"] + length - F.col("start_pos")
+    nearer = acc["best"].isNull() | (F.abs(d) < F.abs(acc["best"]))
+    return F.struct((acc["upto"] + length + F.col("n")).cast("int").alias("upto"), F.when(nearer, d).otherwise(acc["best"]).cast("int").alias("best"))
 
 
 @query(f"WITH {TEXTS}, {SPANS}, f AS (SELECT DISTINCT t.id, raw_form FROM s JOIN t USING (text_id) WHERE length(raw_form) > 2) SELECT text_id FROM t WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = t.id AND contains(t.text, f.raw_form))")
@@ -115,9 +124,9 @@ def top_terms(t):
     return x.orderBy(F.desc("total"), "term").limit(50)  # a top-k report
 
 
-@query("WITH d AS (SELECT CAST(doc_id % 4 AS BIGINT) AS fold, lang, source FROM documents) SELECT coalesce(CAST(fold AS VARCHAR), '-') AS fold, coalesce(lang, '-') AS lang, count(*) AS n FROM d GROUP BY ALL")
+@query("WITH d AS (SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 4 AS BIGINT) AS fold, lang, source FROM documents) SELECT coalesce(CAST(fold AS VARCHAR), '-') AS fold, coalesce(lang, '-') AS lang, count(*) AS n FROM d GROUP BY ALL")
 def fold_sizes(t):
-    return t("documents").groupBy((F.col("doc_id") % 4).cast("string").alias("fold"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    return t("documents").groupBy((F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 4).cast("string").alias("fold"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {TEXTS}, {SPANS}, c AS (SELECT t.id, entity_type, raw_form FROM s JOIN t USING (text_id)), p AS (SELECT DISTINCT a.id AS x, a.raw_form FROM c a JOIN (SELECT soft_name FROM software_names) n ON a.raw_form = n.soft_name) SELECT raw_form AS name, count(*) AS n_docs, md5(min(x)) AS first_doc FROM p GROUP BY 1")

@@ -11,9 +11,9 @@ from lectern.functions.tokens import PATTERN
 
 FORMS = {
     "version": {"v.\u00a010.1.18": "10.1.18", "release\u202f1.8.9": "1.8.9", "１１.６": "１１.６", "（v2）": "（v2）", "Version 2.0": "2.0", "": "", None: None},
-    "publisher": {"Ephronic\u00a0Ltd., Bonn": "Ephronic Ltd.", "Agência Norte": "Agência Norte", "Zürich AG, Genève": "Zürich AG", "Яндекс": "Яндекс", "SPSS Inc., Chicago": "SPSS Inc.", "Inc株": "Inc株"},
-    "url": {"(https://quorstat.ехample/ a)": "https://quorstat.ехample/a", "https://fenstat.ｅｘ\u3000/b": "https://fenstat.ｅｘ/b", "例え.example": "例え.example", "random.org": "random.org"},
-    "software": {"«Étude»": "«Étude»", "(Λάμδα,)": "Λάμδα", "Éco\u3000Stat.": "Éco Stat", "ΠlyΣtat": "ΠlyΣtat", "Excel": "Excel"},
+    "publisher": {"Ephronic\u00a0Ltd., Bonn": "Ephronic Ltd.", "Agência Norte": "Agência Norte", "Zürich AG, Genève": "Zürich AG, Genève", "Яндекс": "Яндекс", "SPSS Inc., Chicago": "SPSS Inc.", "Inc株": "Inc", "Foo incorporated of X": "Foo incorporated", "Bar, Armonk, NY, USA": "Bar"},
+    "url": {"(https://quorstat.ехample/ a)": "https://quorstat", "https://fenstat.ｅｘ\u3000/b": "https://fenstat", "例え.example": "例え.example", "random.org": "random.org", "see ftp://ftp.x.example/a b": "ftp://ftp.x.example/ab", "http ://a.example/x": "http://a.example/x"},
+    "software": {"«Étude»": "«Étude»", "(Λάμδα,)": "Λάμδα", "Éco\u3000Stat.": "Éco Stat", "ΠlyΣtat": "ΠlyΣtat", "Excel": "Excel", "“Foo’": "Foo", "{Foo}:'": "{Foo}:'"},
 }
 MORE = [("t1", "É1", "software"), ("t1", "é1", "version"), ("t1", "日本", "software"), ("t1", "日本", "publisher"), ("t1", "Excel", "url")]
 TEXTS = [("t1", "a", 0, "Élan ÀÉ ab12 ١٢ «naïve» 日本 — x.\nПоиск iOS АБ٣", "fr"), ("t2", "a", 1, None, None)]
@@ -31,7 +31,7 @@ def tables(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name, kind", [("version", "version"), ("creator", "publisher"), ("url", "url"), ("name", "software")])
 def test_all_raw_forms_are_normalised(spark, tables, name, kind):
-    got = {r.raw_form: r for r in core.QUERIES[f"normalize_{name}_all"](spark, tables[0]).collect()}
+    got = {r.raw_form: r for r in core.QUERIES[f"normalize_{name}"](spark, tables[0]).collect()}
     assert set(got) == {f for _, _, k, f, _, _ in tables[1] if k == kind}
     assert {f: got[f].normalized for f in FORMS[kind]} == FORMS[kind]
     if kind == "software":
