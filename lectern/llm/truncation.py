@@ -32,7 +32,7 @@ END = ".!?。！？।؟"
 QUOTES = {'"': '"', "”": "“„", "“": "„", "»": "«", "」": "「", "』": "『", "’": "‘"}
 _marker = re.compile(MARKERS, re.I)
 _url = re.compile(r"^\S*(?:https?://|www\.)\S+$")
-_last_word = re.compile(r"[\ẁ-ͯऀ-෿]+$")
+_word_char = re.compile(r"[\ẁ-ͯऀ-෿]")
 _reference = re.compile(r"^\s*(?:\[\d+\]|\d+\.|•|-)\s*.*(?:\(?(?:19|20)\d\d\)?|doi|10\.\d{4})", re.I)
 _unspaced = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")  # scripts whose words the vocabulary can't tell
 _thai = re.compile(r"[฀-๿]$")
@@ -48,12 +48,24 @@ def _inner_quote(body: str) -> bool:
     return bool(before) and before[-1] not in END and before[-1] != "\n"
 
 
+def _mark(body: str):
+    """The match of what was put after a cut, at the end of body."""
+    return _marker.search(body) if body[-1:] in "]>…)" or body.endswith(("...", "more", "More", "MORE")) else None
+
+
+def _last_word(body: str) -> str:
+    i = len(body)
+    while i and _word_char.match(body[i - 1]):
+        i -= 1
+    return body[i:]
+
+
 def tail_kind(text: str) -> tuple[str, str, str]:
     """(kind, final token, last line) of the end of a text; kind 'cut' and 'whole' are final, others need the corpus."""
     body = text.rstrip()
     if not body:
         return "whole", "", ""
-    m = _marker.search(body)
+    m = _mark(body)
     marked = bool(m) and m.start() > 0
     if marked:
         body = body[: m.start()].rstrip()
@@ -63,8 +75,8 @@ def tail_kind(text: str) -> tuple[str, str, str]:
         return "cut", "", ""
     line = body.rsplit("\n", 1)[-1].strip()
     last = body[-1]
-    w = _last_word.search(body)
-    token = w.group().lower() if w and not _unspaced.search(w.group()) else ""
+    w = _last_word(body)
+    token = w.lower() if not _unspaced.search(w) else ""
     if last in END:
         if last != ".":
             return "whole", "", ""
@@ -103,7 +115,7 @@ def tails(docs: DataFrame) -> DataFrame:
 
     def tail(lines) -> str:
         last = lines[-1]
-        m = _marker.search(last)
+        m = _mark(last)
         return "\n" + (f"{lines[0]}\n{last}" if m and m.start() == 0 and len(lines) > 1 else last)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,9 +124,11 @@ def tails(docs: DataFrame) -> DataFrame:
             digest = [hashlib.md5(k[2].encode()).hexdigest() for k in kinds]
             yield pdf[["doc_id", "source", "n"]].assign(kind=[k[0] for k in kinds], token=[k[1] for k in kinds], line=digest, start=[k[2] if k[0] == "open" else None for k in kinds])
 
-    filled = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\s\x{A0}]"))
-    ends = docs.select("doc_id", "source", F.length("text").alias("n"), F.slice(filled, -F.least(F.size(filled), F.lit(2)), 2).alias("lines"))
-    return ends.where("size(lines) > 0").mapInPandas(run, "doc_id bigint, source string, n int, kind string, token string, line string, start string")
+    blank = F.lit(" \n\r\t\x0b\x0c\u0085\u00a0\u2028\u2029\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+    body = docs.select("doc_id", "source", F.length("text").alias("n"), F.rtrim("text", blank).alias("body")).withColumn("last", F.substring_index("body", "\n", -1))
+    before = F.substring_index(F.rtrim(F.left("body", F.length("body") - F.length("last")), blank), "\n", -1)
+    ends = body.where("body <> ''").select("doc_id", "source", "n", F.when(before != "", F.array(before, "last")).otherwise(F.array("last")).alias("lines"))
+    return ends.mapInPandas(run, "doc_id bigint, source string, n int, kind string, token string, line string, start string")
 
 
 def words(docs: DataFrame) -> DataFrame:
@@ -147,8 +161,8 @@ def limits(t: DataFrame, least: int = 4, sigmas: float = 6.0, around: int = 20)
 
 
 def _begins(c: str) -> Column:
-    """The beginnings of a line, of 1, 2, 4, 8 and 16 characters."""
-    return F.filter(F.array(*[F.when(F.length(c) >= k, F.left(c, F.lit(k))) for k in (1, 2, 4, 8, 16)]), lambda x: x.isNotNull())
+    """The beginnings of a line, of 1, 4 and 16 characters."""
+    return F.filter(F.array(*[F.when(F.length(c) >= k, F.left(c, F.lit(k))) for k in (1, 4, 16)]), lambda x: x.isNotNull())
 
 
 def headings(docs: DataFrame, lines: DataFrame) -> DataFrame:
