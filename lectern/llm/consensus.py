@@ -51,42 +51,42 @@ def patterns(votes: DataFrame, known: DataFrame) -> DataFrame:
     return by_item.join(known, "item", "full").select("item", F.coalesce("labels", F.expr("cast(array() as array<struct<who:string,y:int>>)")).alias("labels"), "fixed")
 
 
-def _posterior(y, alpha, bias, fixed, prior, steps=12):
-    """Posterior of yes and ease of every row; y, alpha and bias are padded matrices, y is -1 where there's no label."""
-    there = y >= 0
-    sign = np.where(y == 1, 1.0, -1.0)
-    ease = np.zeros(len(y))
-    for step in range(steps + 1):
-        e = np.exp(ease)[:, None]
-        yes, no = sign * e * (bias + alpha), sign * e * (bias - alpha)
-        l1, l0 = -np.logaddexp(0, -yes), -np.logaddexp(0, -no)
-        odds = np.log(prior) - np.log1p(-prior) + np.where(there, l1 - l0, 0).sum(1)
-        p = np.where(fixed >= 0, fixed, 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
-        if step == steps:
-            return p, ease
-        g = np.where(there, p[:, None] * (1 - np.exp(l1)) * yes + (1 - p[:, None]) * (1 - np.exp(l0)) * no, 0).sum(1) - ease
-        ease = np.clip(ease + 0.3 * g / (1 + 0.25 * there.sum(1)), -3, 3)
-
-
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with about as many labels together (within a power of two), so that padding at most doubles them."""
-    for pdf in batches:
-        for _, part in pdf.groupby(pdf["labels"].map(lambda x: len(x).bit_length()), sort=True):
-            yield part
-
-
-def _matrices(pdf: pd.DataFrame, params: dict | None):
-    n = max(1, max(map(len, pdf["labels"]), default=1))
-    y = np.full((len(pdf), n), -1)
-    alpha, bias = np.ones((len(pdf), n)), np.zeros((len(pdf), n))
-    names = []
-    for r, labels in enumerate(pdf["labels"]):
-        for k, x in enumerate(labels):
-            y[r, k] = x["y"]
-            alpha[r, k], bias[r, k] = params.get(x["who"], (1.0, 0.0)) if params is not None else (x["alpha"], x["bias"])
-            names.append((r, k, x["who"]))
-    fixed = pdf["fixed"].astype("float").fillna(-1).to_numpy()
-    return names, y, alpha, bias, fixed
+class Flat:
+    """The labels of many rows as flat arrays: row, y, annotator (a code) and its parameters; nothing is padded."""
+
+    def __init__(self, pdf: pd.DataFrame, params: dict | None):
+        self.rows = len(pdf)
+        self.row = np.repeat(np.arange(self.rows), pdf["y"].map(len).to_numpy(np.int64))
+        flat = lambda c, kind: np.concatenate(list(pdf[c])).astype(kind) if len(self.row) else np.empty(0, kind)
+        self.sign = np.where(flat("y", np.int64) == 1, 1.0, -1.0)
+        self.code, self.names = pd.factorize(flat("who", object))
+        if params is None:
+            self.alpha, self.bias = flat("alpha", float), flat("bias", float)
+        else:
+            known = np.array([params.get(w, (1.0, 0.0)) for w in self.names], float).reshape(-1, 2)
+            self.alpha, self.bias = known[self.code].T if len(self.row) else (np.empty(0), np.empty(0))
+        self.fixed = pdf["fixed"].astype("float").fillna(-1).to_numpy()
+        self.n = np.bincount(self.row, minlength=self.rows)
+
+    def by_row(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x, self.rows)
+
+    def posterior(self, prior: float, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of yes and ease of every row."""
+        ease = np.zeros(self.rows)
+        one, other = self.sign * (self.bias + self.alpha), self.sign * (self.bias - self.alpha)
+        for step in range(steps + 1):
+            e = np.exp(ease)[self.row]
+            yes, no = e * one, e * other
+            l1, l0 = -np.logaddexp(0, -yes), -np.logaddexp(0, -no)
+            odds = np.log(prior) - np.log1p(-prior) + self.by_row(l1 - l0)
+            p = np.where(self.fixed >= 0, self.fixed, 1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+            if step == steps:
+                return p, ease
+            q = p[self.row]
+            g = self.by_row(q * (1 - np.exp(l1)) * yes + (1 - q) * (1 - np.exp(l0)) * no) - ease
+            ease = np.clip(ease + 0.3 * g / (1 + 0.25 * self.n), -3, 3)
+        raise AssertionError
 
 
 SUMS = "who string, ga double, gb double, ha double, hb double, n double"
@@ -94,18 +94,15 @@ SUMS = "who string, ga double, gb double, ha double, hb double, n double"
 
 def _gradients(prior: float, params: dict | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _alike(batches):
-            names, y, alpha, bias, fixed = _matrices(pdf, params)
-            p, ease = _posterior(y, alpha, bias, fixed, prior)
-            sign, b, times = np.where(y == 1, 1.0, -1.0), np.exp(ease)[:, None], pdf["times"].to_numpy()[:, None]
-            r1, r0 = 1 / (1 + np.exp(sign * b * (bias + alpha))), 1 / (1 + np.exp(sign * b * (bias - alpha)))
-            q = p[:, None]
-            s1, s0 = r1 * (1 - r1), r0 * (1 - r0)
-            ga, gb = times * sign * b * (q * r1 - (1 - q) * r0), times * sign * b * (q * r1 + (1 - q) * r0)
-            h = times * b**2 * (q * s1 + (1 - q) * s0)
-            rows = [(w, ga[r, k], gb[r, k], h[r, k], h[r, k], times[r, 0]) for r, k, w in names]
-            rows.append(("\0prior", float((p * times[:, 0]).sum()), 0.0, 0.0, 0.0, float(times.sum())))
-            yield pd.DataFrame(rows, columns=["who", "ga", "gb", "ha", "hb", "n"]).groupby("who", as_index=False).sum()
+        for pdf in batches:
+            f, times = Flat(pdf, params), pdf["times"].to_numpy()
+            p, ease = f.posterior(prior)
+            b, q, t = np.exp(ease)[f.row], p[f.row], times[f.row]
+            r1, r0 = 1 / (1 + np.exp(f.sign * b * (f.bias + f.alpha))), 1 / (1 + np.exp(f.sign * b * (f.bias - f.alpha)))
+            one, other = t * f.sign * b * q * r1, t * f.sign * b * (1 - q) * r0
+            h = t * b**2 * (q * r1 * (1 - r1) + (1 - q) * r0 * (1 - r0))
+            ga, gb, ha, n = (np.bincount(f.code, x, len(f.names)) for x in (one - other, one + other, h, t))
+            yield pd.DataFrame({"who": [*f.names, "\0prior"], "ga": [*ga, (p * times).sum()], "gb": [*gb, 0.0], "ha": [*ha, 0.0], "hb": [*ha, 0.0], "n": [*n, times.sum()]})
 
     return run
 
@@ -132,6 +129,11 @@ def _with_params(df: DataFrame, params: DataFrame) -> DataFrame:
     return ids.join(back, "row", "left").withColumn("labels", F.coalesce("joined", F.expr(none))).drop("row", "joined")
 
 
+def _columns(df: DataFrame, joined: bool, *keep: str) -> DataFrame:
+    """Labels as one array a field, which reach Python as flat arrays."""
+    return df.select(*keep, "fixed", *[F.col(f"labels.{c}").alias(c) for c in (["who", "y", "alpha", "bias"] if joined else ["who", "y"])])
+
+
 def fit(items: DataFrame, iterations: int = 25, max_inline: int = 10_000, tolerance: float = 2e-3) -> Consensus:
     counted = cut(items.groupBy("labels", "fixed").agg(F.count(F.lit(1)).cast("double").alias("times")))
     names = counted.select(F.explode("labels.who").alias("who")).distinct()
@@ -139,7 +141,7 @@ def fit(items: DataFrame, iterations: int = 25, max_inline: int = 10_000, tolera
     if names.limit(max_inline + 1).count() <= max_inline:
         inline = {r.who: (1.0, 0.0) for r in names.collect()}  # at most max_inline names
         for _ in range(iterations):
-            sums = counted.mapInPandas(_gradients(prior, inline), SUMS).groupBy("who").agg(*[F.sum(c).alias(c) for c in ("ga", "gb", "ha", "hb", "n")]).collect()
+            sums = _columns(counted, False, "times").mapInPandas(_gradients(prior, inline), SUMS).groupBy("who").agg(*[F.sum(c).alias(c) for c in ("ga", "gb", "ha", "hb", "n")]).collect()
             moved, new = 0.0, {}
             for s in sums:
                 if s.who == "\0prior":
@@ -162,7 +164,7 @@ def fit(items: DataFrame, iterations: int = 25, max_inline: int = 10_000, tolera
             yield pd.DataFrame({"who": pdf["who"], "alpha": a, "bias": b, "n": pdf["n"], "yes": pdf["ga"], "moved": moved})
 
     for _ in range(iterations):
-        sums = _with_params(counted, params).mapInPandas(_gradients(prior, None), SUMS).groupBy("who").agg(*[F.sum(c).alias(c) for c in ("ga", "gb", "ha", "hb", "n")])
+        sums = _columns(_with_params(counted, params), True, "times").mapInPandas(_gradients(prior, None), SUMS).groupBy("who").agg(*[F.sum(c).alias(c) for c in ("ga", "gb", "ha", "hb", "n")])
         new = cut(sums.join(params, "who", "left").fillna({"alpha": 1.0, "bias": 0.0}).mapInPandas(update, schema))
         head = new.where(F.col("who") == "\0prior").first()
         prior = float(np.clip(head.yes / head.n, 0.01, 0.99)) if head else prior
@@ -178,13 +180,13 @@ def posteriors(items: DataFrame, model: Consensus) -> DataFrame:
     schema = "item string, n_labels int, fixed int, p_yes double, difficulty double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _alike(batches):
-            _, y, alpha, bias, fixed = _matrices(pdf, inline)
-            p, ease = _posterior(y, alpha, bias, fixed, prior)
-            yield pd.DataFrame({"item": pdf["item"], "n_labels": (y >= 0).sum(1).astype("int32"), "fixed": pdf["fixed"], "p_yes": p, "difficulty": np.exp(-ease)})
+        for pdf in batches:
+            f = Flat(pdf, inline)
+            p, ease = f.posterior(prior)
+            yield pd.DataFrame({"item": pdf["item"], "n_labels": f.n.astype("int32"), "fixed": pdf["fixed"], "p_yes": p, "difficulty": np.exp(-ease)})
 
     src = items if inline is not None else _with_params(items, model.params)
-    out = src.select(F.col("item").cast("string"), "labels", "fixed").mapInPandas(run, schema)
+    out = _columns(src.withColumn("item", F.col("item").cast("string")), inline is None, "item").mapInPandas(run, schema)
     judged = F.col("fixed").isNotNull() | (F.col("n_labels") >= 2)
     return out.withColumn("consensus", F.when(judged, F.col("p_yes") > 0.5))
 
