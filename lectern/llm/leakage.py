@@ -5,8 +5,9 @@ and numbers, units and names replaced by typed placeholders. Windows of these te
 are joined by hash: the items' windows are a table that is as small as the held-out set (checked: at most ``max_windows`` a block,
 further items go in further blocks, each against all documents), so the corpus is read in place and never shuffled.
 Windows that meet on one diagonal are chained; a pair with enough of them is aligned on the real text, where numbers and names are
-themselves again: that is the slot check, which tells a leaked passage from a sentence of the same build. ``slots_equal`` is the
-share of numbers in the passage that agree, so re-parameterised copies show as high template coverage with few equal slots.
+themselves again. Then the slots of the passage, numbers and names by their shape, are compared in the aligned words: a passage with
+``min_slots`` of them of which fewer than ``min_equal`` agree is no copy. Pairs that agree in the template only are aligned as templates
+and reported as re-parameterised if every value is replaced by one value wherever it stands.
 
 An item's windows have the length of its own script; a document is searched for the windows of both lengths, whatever its script is,
 so a passage is found in a document mostly of another script too. Only documents without a character of the scripts without spaces
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,7 @@ _number = re.compile(r"\d[\d.,]*")
 _unit = re.compile(r"(?<=\d)\s*(?:mm|cm|km|kg|mg|ml|µm|%|°\s?[CF]|hours?|Hz|kHz|MB|GB)(?![A-Za-z])")
 _name = re.compile(r"\b[A-Za-z]*[a-z][A-Z][A-Za-z0-9]*\b")  # inner capitals; words in capitals may be any words
 _drop = re.compile(r"[\W_]+")
+_part = re.compile(r"\d+|[^\W\d_]+|[.!?。！？।؟]")
 _dense = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 
 K, K_DENSE, WINDOW = 16, 6, 8
@@ -124,6 +127,8 @@ class Items:
             cat = lambda x: (np.concatenate(x) if x else np.empty(0, np.int64))[order]  # noqa: E731, B023
             self.tables[dense] = (h[order], cat(its), cat(ats))
         self.grams = [self._grams(p) for p in self.plain]
+        self.template_grams = [self._grams(t) for t in templates]
+        self.slots = [slot_places(r[1]) for r in rows]
 
     @staticmethod
     def _grams(plain: str) -> tuple[int, dict]:
@@ -187,14 +192,40 @@ def passage(gram: int, grams: dict, doc: str, cost: float = 2.5, gap: int = 45)
     return top[1], top[3], top[2], top[4]
 
 
-OUT = "item_id {t}, doc_id bigint, coverage double, template_share double, slots_equal double"
+def slot_places(text: str) -> list[tuple[int, int]]:
+    """Start and end in the plain stream of the slots of a text: numbers, and names by their shape."""
+    t = skeleton(text)
+    out, at, begins, capitals = [], 0, True, t.isupper()
+    for m in _part.finditer(t):
+        word = m.group()
+        if word in ".!?。！？।؟":
+            begins = True
+            continue
+        n = len(word.lower())
+        if word[0].isdigit() or _name.fullmatch(word) or (word[0].isupper() and not begins and not capitals):
+            out.append((at, at + n))
+        at, begins = at + n, False
+    return out
+
+
+def slots(item: str, places: list[tuple[int, int]], doc: str) -> tuple[int, float, bool]:
+    """Number of slots of an item's passage, share of them that stand equal in the doc's, and whether the others are replaced consistently:
+    one value by one value wherever it stands. item, doc: plain streams."""
+    blocks = SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks()
+    equal, other, consistent = 0, {}, True
+    for start, end in places:
+        lo = [b + start - a for a, b, n in blocks if a <= start <= a + n]
+        hi = [b + end - a for a, b, n in blocks if a <= end <= a + n]
+        value = doc[lo[0] : hi[-1]] if lo and hi and lo[0] <= hi[-1] else None
+        equal += value == item[start:end]
+        consistent &= value is not None and other.setdefault(item[start:end], value) == value
+    return len(places), equal / len(places) if places else 1.0, consistent
 
 
-def _numbers(s: str) -> list[str]:
-    return re.findall(r"\d+", s)
+OUT = "item_id {t}, doc_id bigint, coverage double, template_share double, slots_equal double, consistent boolean, kind string"
 
 
-def scan(items: Items, min_cover: float, min_share: float):
+def scan(items: Items, min_cover: float, min_share: float, min_slots: int, min_equal: float):
     least = np.maximum(1, np.ceil(min_share * items.count))
     anywhere = bool((items.spaced >= least).any())
 
@@ -232,25 +263,33 @@ def scan(items: Items, min_cover: float, min_share: float):
                         plain = plains.get(r)
                         if plain is None:
                             plain = plains[r] = plain_stream(texts[r])
-                        gram, grams = items.grams[i]
                         scale = len(plain) / max(1, len(templates[r]))
                         size = len(items.plain[i])
                         f, t = int(max(0, x * scale - 200 - 0.7 * size)), int(y * scale + 200 + 0.7 * size)
-                        i0, i1, d0, d1 = passage(gram, grams, plain[f:t])
-                        cover = (i1 - i0) / max(1, size)
-                        if cover >= min_cover and cover > seen.get((r, i), (0,))[0]:
-                            want = _numbers(items.plain[i][i0:i1])
-                            there = _numbers(plain[f:t][d0:d1])
-                            equal = sum(p == q for p, q in zip(want, there)) / len(want) if want else 1.0
-                            seen[r, i] = (cover, n / items.count[i], equal)
-                    rows += [(items.ids[i], part["doc_id"].iloc[r], *v) for (r, i), v in seen.items()]
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "template_share", "slots_equal"])
+                        i0, i1, d0, d1 = passage(*items.grams[i], plain[f:t])
+                        cover, copy = (i1 - i0) / max(1, size), True
+                        if cover < min_cover:
+                            # no copy of the words: perhaps one of the template, with other values in its slots
+                            size, copy = items.length[i], False
+                            tf, tt = max(0, int(x - 200 - 0.7 * size)), int(y + 200 + 0.7 * size)
+                            t0, t1, u0, u1 = passage(*items.template_grams[i], templates[r][tf:tt])
+                            cover, back = (t1 - t0) / max(1, size), len(items.plain[i]) / max(1, size)
+                            i0, i1, d0, d1, f = int(t0 * back), int(t1 * back), int((tf + u0) * scale), int((tf + u1) * scale), 0
+                        if cover < min_cover or (copy, cover) <= seen.get((r, i), ((False, 0.0),))[0]:
+                            continue
+                        places = [(x - i0, y - i0) for x, y in items.slots[i] if x >= i0 and y <= i1]
+                        n_slots, equal, consistent = slots(items.plain[i][i0:i1], places, plain[f + d0 : f + d1])
+                        same = copy and not (n_slots >= min_slots and equal < min_equal)
+                        if same or (consistent and n_slots):
+                            seen[r, i] = ((copy, cover), cover, n / items.count[i], equal, consistent, "copy" if same else "reparameterised")
+                    rows += [(items.ids[i], part["doc_id"].iloc[r], *v[1:]) for (r, i), v in seen.items()]
+            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "coverage", "template_share", "slots_equal", "consistent", "kind"])
 
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", min_cover: float = 0.4, min_share: float = 0.12, max_windows: int = 2_000_000) -> DataFrame:
-    """item_id, doc_id, coverage (of the item by one passage), template_share, slots_equal."""
+def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", min_cover: float = 0.4, min_share: float = 0.12, max_windows: int = 2_000_000, min_slots: int = 4, min_equal: float = 0.4) -> DataFrame:
+    """item_id, doc_id, coverage (of the item by one passage), template_share, slots_equal, consistent, kind (copy or reparameterised)."""
     wanted = items.select(item_col, text_col).where(F.length(F.trim(text_col)) > 0).dropDuplicates([item_col])
     corpus = docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
     schema = OUT.format(t=dict(items.dtypes)[item_col])
@@ -265,8 +304,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", item_col:
             blocks.append(block)
             block, size = [], 0
     for b in [*blocks, block]:
-        found = corpus.mapInPandas(scan(Items(b), min_cover, min_share), schema) if b or out is None else None
+        found = corpus.mapInPandas(scan(Items(b), min_cover, min_share, min_slots, min_equal), schema) if b or out is None else None
         if found is not None:
             out = found if out is None else out.unionByName(found)
-    best = F.max(F.struct("coverage", "template_share", "slots_equal")).alias("m")
-    return out.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", "m.*")
+    best = F.max(F.struct((F.col("kind") == "copy").alias("copy"), "coverage", "template_share", "slots_equal", "consistent", "kind")).alias("m")
+    return out.groupBy("item_id", "doc_id").agg(best).select("item_id", "doc_id", *[F.col(f"m.{c}") for c in ("coverage", "template_share", "slots_equal", "consistent", "kind")])

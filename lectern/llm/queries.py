@@ -114,7 +114,7 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("item_id", "doc_id")
+    return p8_leaks(spark, sf_dir).where("kind = 'copy'").select("item_id", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.leakage import Items, chain, leaks, passage, plain_stream, template_stream, window_minima
+from lectern.llm.leakage import Items, chain, leaks, passage, plain_stream, slot_places, slots, template_stream, window_minima
 
 rng = random.Random(4)
 WORDS = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
@@ -64,3 +64,20 @@ def test_words_of_a_dense_item_alone(spark):
     item = words + "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(60))
     docs = spark.createDataFrame([(1, text(200) + " " + words + " " + text(200)), (2, text(400))], "doc_id bigint, text string")
     assert [r.doc_id for r in leaks(docs, spark.createDataFrame([(7, item)], "item_id int, text string")).collect()] == [1]
+
+
+def test_slots():
+    item = "Tom gave 12 apples to his friend Ann, and Ann gave 12 pears and 7 figs to Tom."
+    plain, places = plain_stream(item), slot_places(item)
+    check = lambda other: slots(plain, places, plain_stream(other))
+    assert [plain[a:b] for a, b in places] == ["12", "ann", "ann", "12", "7", "tom"]
+    assert check(item) == check(item.upper().replace(" ", "")) == (6, 1.0, True)
+    assert check(item.replace("12", "31").replace("Ann", "Bob")) == (6, 2 / 6, True)
+    assert check(item.replace("12", "31", 1))[2] is False and slots("", [], "x") == (0, 1.0, True)
+
+
+def test_reparameterised_questions_are_told_from_copies(spark):
+    ask = lambda a, b, c: f"{a} plates were read in {b} rows of the field by the older of the readers, then {c} more plates were read in {b + 1} rows before the readers went home with {a} plates and {c} notes each, which took {a + c} hours"
+    docs = spark.createDataFrame([(1, text(80) + " " + ask(12, 5, 71) + " " + text(80)), (2, text(80) + " " + ask(340, 88, 902) + " " + text(80)), (3, text(200))], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in leaks(docs, spark.createDataFrame([(1, ask(12, 5, 71))], "item_id int, text string")).collect()}
+    assert set(got) == {1, 2} and got[1].kind == "copy" and got[2].kind == "reparameterised" and got[2].consistent and got[2].slots_equal < 0.4
