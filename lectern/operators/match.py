@@ -62,13 +62,12 @@ def non_overlapping(spans: DataFrame, keys: list[str], start: str = "start", end
     return kept.select(*keys, F.col("x.s").alias(start), (-F.col("x.e")).cast("int").alias(end), *[F.col(f"x.{x}").alias(x) for x in extra])
 
 
-def propagate(texts: DataFrame, known: DataFrame, taken: DataFrame, doc: str, seg: str, idf: DataFrame) -> DataFrame:
-    """Document-wide propagation: every term known in a document is matched in all its segments; gated, off taken spans.
+def propagate(hits: DataFrame, known: DataFrame, taken: DataFrame, doc: str, seg: str, idf: DataFrame) -> DataFrame:
+    """Document-wide propagation: of all occurrences of terms, those of terms known in their document; gated by tf x idf, off taken spans.
 
-    known: doc, term. taken: seg, start, end. idf: term, idf."""
-    hits = dictionary_hits(texts, lexicon(known, "term"), (doc, seg)).join(known.select(doc, "term").distinct(), [doc, "term"], "left_semi")
-    tf = term_frequency(hits, doc)
-    gated = hits.join(tf, [doc, "term"]).join(small(idf.select("term", "idf")), "term", "left").where(keep_term(F.col("tf"), F.col("idf"), F.length("term"), F.col("term")))
+    hits: doc, seg, term, start, end (see dictionary_hits), read twice, so a written table. known: doc, term. taken: seg, start, end. idf: term, idf."""
+    own = hits.join(known.select(doc, "term").distinct(), [doc, "term"], "left_semi")
+    gated = own.join(term_frequency(own, doc), [doc, "term"]).join(idf.select("term", "idf"), "term", "left").where(keep_term(F.col("tf"), F.col("idf"), F.length("term"), F.col("term")))
     busy = taken.select(F.col(seg).alias("seg_"), F.col("start").alias("s_"), F.col("end").alias("e_"))
     free = gated.join(busy, (F.col(seg) == F.col("seg_")) & (F.col("start") < F.col("e_")) & (F.col("s_") < F.col("end")), "left_anti")
     return non_overlapping(free, [doc, seg], extra=("term",))

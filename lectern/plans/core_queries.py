@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import features, normalize
 from lectern.functions.tokens import D, PATTERN, token_table, tokenize
 from lectern.operators import corpus, entities, evaluate, match, spans
-from lectern.session import table
+from lectern.session import cut_table, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,7 @@ LEX = f"lex AS (SELECT term, words, words[1] AS first, len(words) AS n FROM (SEL
 HITS = """hits AS (SELECT text_id, id, term, i - 1 AS pos, n, CAST(length(array_to_string(tokens[1:i-1], '')) AS BIGINT) AS start FROM tp JOIN lex ON tokens[i] = first AND tokens[i:i+n-1] = words)"""
 BASE = f"WITH {TEXTS}, {TOKENS}, {LEX}, {HITS}"
 SPANS = "s AS (SELECT DISTINCT * FROM entity_spans)"
+ANNOTATORS = [f"annotator{i}" for i in range(24)] + ["curator"]  # the rows of the fixed table
 
 
 # tokens and features
@@ -67,21 +68,23 @@ def token_offsets(t):
     return token_table(_texts(t), keep=("text_id",))
 
 
-@query(f"""WITH {TEXTS}, {TOKENS}, d AS (SELECT DISTINCT tokens[i] AS t FROM tp WHERE regexp_full_match(tokens[i], '[\\x21-\\x7E]+'))
-SELECT t AS token, lower(t) AS lower, {", ".join(f"left(t, {i}) AS prefix{i}" for i in range(1, 6))}, {", ".join(f"right(t, {i}) AS suffix{i}" for i in range(1, 6))},
-CASE WHEN regexp_full_match(t, '[0-9]+') THEN 'NOCAPS' WHEN regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[^A-Z0-9]') THEN 'ALLCAP' WHEN regexp_matches(t, '^[A-Z]') THEN 'INITCAP' ELSE 'NOCAPS' END AS caps,
-CASE WHEN regexp_full_match(t, '[0-9]+') THEN 'ALLDIGIT' WHEN regexp_matches(t, '[0-9]') THEN 'CONTAINDIGIT' ELSE 'NODIGIT' END AS digits, length(t) = 1 AS single,
-CASE WHEN t IN ('(', '[') THEN 'OPENBRACKET' WHEN t IN (')', ']') THEN 'ENDBRACKET' WHEN t = '.' THEN 'DOT' WHEN t = ',' THEN 'COMMA' WHEN t = '-' THEN 'HYPHEN' WHEN t IN ('"', '''', '`') THEN 'QUOTE' WHEN regexp_full_match(t, '[^A-Za-z0-9]+') THEN 'PUNCT' ELSE 'NOPUNCT' END AS punct,
-regexp_replace(t, '[0-9]', '0', 'g') AS shadow, regexp_replace(regexp_replace(regexp_replace(t, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'd', 'g') AS shape,
-regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'd', 'g'), 'X+', 'X', 'g'), 'x+', 'x', 'g'), 'd+', 'd', 'g') AS trimmed_shape FROM d""")
-def token_features(t):
-    d = _texts(t).select(F.explode(tokenize(F.col("text"))).alias("t")).where(F.col("t").rlike(r"^[\x21-\x7E]+$")).distinct()
-    return d.select(*features.feature_row(F.col("t")))
+def _runs_once(c: str) -> str:
+    for x in "Xxd":
+        c = f"regexp_replace({c}, '{x}+', '{x}', 'g')"
+    return c
+
+
+SHAPE = r"regexp_replace(regexp_replace(regexp_replace(t, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\p{Nd}', 'd', 'g')"
 
 
-@query()
-def token_features_all(t):
-    """Of all tokens but white space, in any script; token_features has the part that the SQL can tell."""
+@query(rf"""WITH {TEXTS}, {TOKENS}, d AS (SELECT DISTINCT tokens[i] AS t FROM tp WHERE NOT regexp_full_match(tokens[i], '[\s\x{{85}}\p{{Z}}]+'))
+SELECT t AS token, lower(t) AS lower, {", ".join(f"left(t, {i}) AS prefix{i}" for i in range(1, 6))}, {", ".join(f"right(t, {i}) AS suffix{i}" for i in range(1, 6))},
+CASE WHEN regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '[^\p{{Lu}}\p{{M}}\p{{Nd}}]') THEN 'ALLCAP' WHEN regexp_matches(t, '^\p{{Lu}}') THEN 'INITCAP' ELSE 'NOCAPS' END AS caps,
+CASE WHEN regexp_full_match(t, '\p{{Nd}}+') THEN 'ALLDIGIT' WHEN regexp_matches(t, '\p{{Nd}}') THEN 'CONTAINDIGIT' ELSE 'NODIGIT' END AS digits, length(t) = 1 AS single,
+CASE WHEN t IN ('(', '[', '（') THEN 'OPENBRACKET' WHEN t IN (')', ']', '）') THEN 'ENDBRACKET' WHEN t = '.' THEN 'DOT' WHEN t = ',' THEN 'COMMA' WHEN t = '-' THEN 'HYPHEN' WHEN t IN ('"', '''', '`', '“', '”', '„', '‘', '’', '«', '»') THEN 'QUOTE' WHEN regexp_full_match(t, '[^\p{{L}}\p{{M}}\p{{N}}]+') THEN 'PUNCT' ELSE 'NOPUNCT' END AS punct,
+regexp_replace(t, '\p{{Nd}}', '0', 'g') AS shadow, {SHAPE} AS shape, {_runs_once(SHAPE)} AS trimmed_shape FROM d""")
+def token_features(t):
+    """Of all tokens but white space, in any script."""
     d = _texts(t).select(F.explode(tokenize(F.col("text"))).alias("t")).where(~F.col("t").rlike(r"^[\s\x{85}\p{Z}]+$")).distinct()
     return d.select(*features.feature_row(F.col("t")))
 
@@ -195,24 +198,14 @@ def doc_term_tfidf(t):
     return tf.join(match.small(idf), "term").select("id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
 
 
-@query(f"WITH {TEXTS}, {TOKENS}, w AS (SELECT text_id, tokens[i] AS token FROM tp WHERE regexp_full_match(tokens[i], '[a-zA-Z]+')), n AS (SELECT token, count(DISTINCT text_id) AS df FROM w GROUP BY 1), stop AS (SELECT token FROM n WHERE regexp_full_match(token, '[a-z]+') ORDER BY df DESC, token LIMIT 200) SELECT token, df FROM n WHERE NOT (CASE WHEN length(token) = 1 THEN lower(token) ELSE token END) IN (SELECT token FROM stop) AND token <> 'R'")
+@query(f"WITH {TEXTS}, {TOKENS}, w AS (SELECT text_id, tokens[i] AS token FROM tp WHERE regexp_full_match(tokens[i], '\\p{{L}}[\\p{{L}}\\p{{M}}]*')), n AS (SELECT token, count(DISTINCT text_id) AS df FROM w GROUP BY 1), stop AS (SELECT token FROM n WHERE lower(token) = token ORDER BY df DESC, token LIMIT 200) SELECT token, df FROM n WHERE NOT (CASE WHEN length(token) = 1 THEN lower(token) ELSE token END) IN (SELECT token FROM stop) AND token <> 'R'")
 def stopword_filtered_terms(t):
-    n = _texts(t).select("text_id", F.explode(tokenize(F.col("text"))).alias("token")).where(F.col("token").rlike("^[a-zA-Z]+$")).groupBy("token").agg(F.countDistinct("text_id").alias("df"))
-    stop = n.where(F.col("token").rlike("^[a-z]+$")).orderBy(F.desc("df"), "token").limit(200).select(F.col("token").alias("k"))  # a top-k list is the feature
+    n = _texts(t).select("text_id", F.explode(tokenize(F.col("text"))).alias("token")).where(F.col("token").rlike(r"^\p{L}[\p{L}\p{M}]*$")).groupBy("token").agg(F.countDistinct("text_id").alias("df"))
+    stop = n.where(F.lower("token") == F.col("token")).orderBy(F.desc("df"), "token").limit(200).select(F.col("token").alias("k"))  # a top-k list is the feature
     k = F.when(F.length("token") == 1, F.lower("token")).otherwise(F.col("token"))
     return n.withColumn("k", k).join(F.broadcast(stop), "k", "left_anti").where("token <> 'R'").select("token", "df")
 
 
-@query(f"{BASE}, k AS (SELECT DISTINCT t.id, lex.term FROM (SELECT DISTINCT * FROM entity_spans) e JOIN t USING (text_id) JOIN lex ON lex.term = e.raw_form WHERE entity_type = 'software'), tf AS (SELECT id, term, count(*) AS tf FROM hits GROUP BY ALL), busy AS (SELECT DISTINCT text_id, start_pos, end_pos FROM entity_spans WHERE entity_type = 'software') SELECT h.id, h.text_id, h.term, h.start, h.start + length(h.term) AS \"end\", tf FROM hits h JOIN k USING (id, term) JOIN tf USING (id, term) WHERE length(h.term) > 1 AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.text_id = h.text_id AND h.start < b.end_pos AND b.start_pos < h.start + length(h.term))")
-def propagated_hits(t):
-    hits = _hits(t).select("id", "text_id", "term", "start", "end")
-    s = _spans(t).where("entity_type = 'software'")
-    known = s.join(_texts(t).select("text_id", "id"), "text_id").select("id", F.col("raw_form").alias("term")).distinct()
-    busy = s.select(F.col("text_id").alias("tid"), "start_pos", "end_pos").distinct()
-    gated = hits.join(known, ["id", "term"], "left_semi").join(match.term_frequency(hits, "id"), ["id", "term"]).where(match.keep_term(F.col("tf"), F.lit(None).cast("double"), F.length("term"), F.col("term")))
-    return gated.join(busy, (F.col("text_id") == F.col("tid")) & (F.col("start") < F.col("end_pos")) & (F.col("start_pos") < F.col("end")), "left_anti")
-
-
 def _known_names(t) -> DataFrame:
     """id, term: the names annotated in each document, as they stand there and normalised."""
     s = _spans(t).where("entity_type = 'software'").join(_texts(t).select("text_id", "id"), "text_id")
@@ -220,14 +213,22 @@ def _known_names(t) -> DataFrame:
     return s.select("id", F.explode(forms).alias("term")).where("term <> ''").distinct()
 
 
-@query()
-def propagated_names(t):
-    """All names known in a document, over the whole document, gated by tf x idf; propagated_hits has the fixed dictionary only."""
+FOLD = """g AS (SELECT id, text_id, list_sort(list(DISTINCT {'a': a, 'e': -b, 'term': term})) AS l FROM free GROUP BY 1, 2),
+f AS (SELECT id, text_id, list_reduce(list_prepend([{'a': -1, 'b': -1, 'term': ''}], list_transform(l, lambda x: [{'a': x.a, 'b': -x.e, 'term': x.term}])), lambda acc, x: CASE WHEN x[1].a >= acc[len(acc)].b THEN list_concat(acc, x) ELSE acc END) AS kept FROM g)"""
+
+
+@query(f"""WITH {TEXTS}, {TOKENS}, n0 AS (SELECT t.id, raw_form FROM (SELECT DISTINCT * FROM entity_spans) e JOIN t USING (text_id) WHERE entity_type = 'software'), known AS (SELECT DISTINCT id, raw_form AS term FROM n0 WHERE raw_form <> '' UNION SELECT DISTINCT id, {_sql_blanks(f"trim({_sql_blanks('raw_form')}, '{MARKS}')")} AS term FROM n0 WHERE {_sql_blanks(f"trim({_sql_blanks('raw_form')}, '{MARKS}')")} <> ''),
+lex AS (SELECT term, words, words[1] AS first, len(words) AS n FROM (SELECT DISTINCT term, regexp_extract_all(term, '{PATTERN}') AS words FROM known)), {HITS}, df AS (SELECT term, count(DISTINCT id) AS df FROM hits GROUP BY 1), nd AS (SELECT count(DISTINCT id) AS n FROM t),
+own AS (SELECT h.* FROM hits h JOIN known USING (id, term)), tf AS (SELECT id, term, count(*) AS tf FROM own GROUP BY 1, 2), busy AS (SELECT DISTINCT text_id, start_pos, end_pos FROM entity_spans WHERE entity_type = 'software'),
+free AS (SELECT h.id, h.text_id, h.term, h.start AS a, h.start + length(h.term) AS b FROM own h JOIN tf USING (id, term) JOIN df USING (term), nd WHERE (tf * ln(nd.n / df) <= 0 OR tf * ln(nd.n / df) > 0.001) AND (length(h.term) > 1 OR h.term = 'R') AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.text_id = h.text_id AND h.start < b.end_pos AND b.start_pos < h.start + length(h.term))),
+{FOLD} SELECT id, text_id, CAST(u.a AS BIGINT) AS start, CAST(u.b AS BIGINT) AS "end", u.term AS term FROM (SELECT id, text_id, unnest(kept) AS u FROM f) WHERE u.a >= 0""")
+def propagated_hits(t):
+    """All names annotated in a document, and their normal forms, over the whole document; gated by tf x idf."""
     texts, known = _texts(t), _known_names(t)
-    everywhere = match.dictionary_hits(texts, match.lexicon(known, "term"), ("id", "text_id"))
-    idf = match.inverse_frequency(match.term_frequency(everywhere, "id"), texts.select(F.countDistinct("id").alias("n_docs")), "id")
+    hits = cut_table(match.dictionary_hits(texts, match.lexicon(known, "term"), ("id", "text_id")).select("id", "text_id", "term", F.col("start").cast("int"), F.col("end").cast("int")))
+    idf = match.inverse_frequency(match.term_frequency(hits, "id"), texts.select(F.countDistinct("id").alias("n_docs")), "id")
     taken = _spans(t).where("entity_type = 'software'").select("text_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("end")).distinct()
-    return match.propagate(texts.select("id", "text_id", "text"), known, taken, "id", "text_id", idf)
+    return match.propagate(hits, known, taken, "id", "text_id", idf)
 
 
 @query(f"""{BASE}, s AS (SELECT text_id, term, CAST(start AS INT) AS a, CAST(start + length(term) AS INT) AS b FROM hits), g AS (SELECT text_id, list_sort(list({{'a': a, 'e': -b, 'term': term}})) AS l FROM s GROUP BY 1),
@@ -372,32 +373,18 @@ def largest_run(t):
     return corpus.largest_run(_per_document(t), "doc", "n")
 
 
-@query("SELECT span_id, " + ", ".join(f"max_by(used, {{'a': labelled_at, 'b': label_id}}) FILTER (WHERE used IS NOT NULL AND lower(replace(replace(resp, '#', ''), ' ', '')) = 'annotator{i}') AS annotator{i}" for i in (2, 10, 22)) + " FROM usage_labels GROUP BY 1")
+@query("SELECT span_id, " + ", ".join(f"max_by(used, {{'a': labelled_at, 'b': label_id}}) FILTER (WHERE used IS NOT NULL AND lower(replace(replace(resp, '#', ''), ' ', '')) = '{name}') AS \"{name}\"" for name in ANNOTATORS) + " FROM usage_labels GROUP BY 1")
 def pivot_codes(t):
-    who = F.lower(F.replace(F.replace("resp", F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))
-    rows = t("usage_labels").withColumn("who", who).withColumn("v", F.col("used"))
-    g = rows.groupBy("span_id").agg(*[F.max_by(F.when(F.col("who") == f"annotator{i}", F.col("v")), F.when((F.col("who") == f"annotator{i}") & F.col("v").isNotNull(), F.struct("labelled_at", "label_id"))).alias(f"annotator{i}") for i in (2, 10, 22)])
-    return g
-
-
-@query()
-def pivot_codes_all(t):
-    """The last given code of every annotator of the fixed annotators table; pivot_codes has three of them."""
+    """The last given code of every annotator of the fixed annotators table."""
     name = lambda c: F.lower(F.replace(F.replace(c, F.lit("#"), F.lit("")), F.lit(" "), F.lit("")))
-    names = sorted(r[0] for r in t("annotators").where("resp is not null").select(name("resp")).distinct().collect())
+    names = sorted(r[0] for r in t("annotators").where("resp is not null").select(name("resp")).distinct().collect())  # 25 rows
     rows = t("usage_labels").withColumn("who", F.when(F.col("used").isNotNull(), name("resp")))
     return corpus.pivot_last(rows, "span_id", "who", "used", ["labelled_at", "label_id"], names)
 
 
-@query("SELECT lower(raw_form) AS text, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS types, count(*) AS n FROM (SELECT DISTINCT * FROM entity_spans) WHERE regexp_full_match(raw_form, '[\\x20-\\x7E]+') GROUP BY 1 HAVING count(DISTINCT entity_type) > 1")
+@query("SELECT lower(raw_form) AS text, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS types, count(*) AS n FROM (SELECT DISTINCT * FROM entity_spans) WHERE raw_form IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_type) > 1")
 def ambiguous_terms(t):
-    g = _spans(t).where(F.col("raw_form").rlike(r"^[\x20-\x7E]+$")).groupBy(F.lower("raw_form").alias("text")).agg(F.collect_set("entity_type").alias("s"), F.count(F.lit(1)).alias("n"))
-    return g.where("size(s) > 1").select("text", F.array_join(F.array_sort("s"), ",").alias("types"), "n")
-
-
-@query()
-def ambiguous_terms_all(t):
-    """Of all raw forms, of any characters."""
+    """Raw forms, of any characters, that are annotated as several types."""
     g = _spans(t).where("raw_form is not null").groupBy(F.lower("raw_form").alias("text")).agg(F.collect_set("entity_type").alias("s"), F.count(F.lit(1)).alias("n"))
     return g.where("size(s) > 1").select("text", F.array_join(F.array_sort("s"), ",").alias("types"), "n")
 

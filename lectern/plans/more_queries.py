@@ -18,25 +18,28 @@ def pipeline_mentions(t):
     return extract_mentions(_texts(t), t("software_names"), "soft_name", ("text_id",))
 
 
-@query(f"WITH {SPANS} SELECT span_id, CAST(json_object('software-type', entity_type, 'software-name', json_object('rawForm', raw_form, 'offsetStart', start_pos, 'offsetEnd', end_pos)) AS VARCHAR) AS json FROM s WHERE raw_form IS NOT NULL AND entity_type IS NOT NULL AND regexp_full_match(raw_form, '[\\x20-\\x7E]+')")
+@query(f"WITH {SPANS} SELECT span_id, CAST(json_object('software-type', entity_type, 'software-name', json_object('rawForm', raw_form, 'offsetStart', start_pos, 'offsetEnd', end_pos)) AS VARCHAR) AS json FROM s WHERE raw_form IS NOT NULL AND entity_type IS NOT NULL")
 def mention_json(t):
-    s = _spans(t).where("raw_form is not null and entity_type is not null").where(F.col("raw_form").rlike(r"^[\x20-\x7E]+$"))
+    s = _spans(t).where("raw_form is not null and entity_type is not null")
     return s.select("span_id", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
 
 
-@query()
+@query(f"WITH {SPANS} SELECT span_id, CAST(json_merge_patch('{{}}', json_object('software-type', entity_type, 'software-name', json_object('rawForm', raw_form, 'offsetStart', start_pos, 'offsetEnd', end_pos))) AS VARCHAR) AS json FROM s")
 def mention_json_all(t):
     """Of all spans, of any characters; missing parts are left out."""
     return _spans(t).select("span_id", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
 
 
-@query()
+MENTION = "CAST(json_merge_patch('{}', json_object('software-type', entity_type, 'software-name', json_object('rawForm', raw_form, 'offsetStart', start_pos, 'offsetEnd', end_pos))) AS VARCHAR)"
+
+
+@query(f"""WITH {SPANS}, m AS (SELECT text_id, start_pos, {MENTION} AS json FROM s WHERE entity_type = 'software') SELECT text_id, '{{"application":"lectern","version":"1","mentions":[' || string_agg(json, ',' ORDER BY start_pos NULLS FIRST, json) || ']}}' AS json FROM m GROUP BY 1""")
 def mention_envelopes(t):
     s = _spans(t).where("entity_type = 'software'").select("text_id", "start_pos", sinks.mention_json(F.col("entity_type"), F.col("raw_form"), F.col("start_pos"), F.col("end_pos")).alias("json"))
     return sinks.envelopes(s, "text_id", "json", "start_pos", "lectern", "1")
 
 
-@query()
+@query(f"WITH {SPANS}, d AS (SELECT DISTINCT raw_form AS term FROM s WHERE entity_type = 'software' AND raw_form IS NOT NULL) SELECT lower(left(term, 1)) AS letter, CAST(to_json(list({{'term': term, 'score': CAST(1 AS DOUBLE)}} ORDER BY lower(term), term)) AS VARCHAR) AS json FROM d GROUP BY 1")
 def term_vector(t):
     return sinks.term_vector(_spans(t).where("entity_type = 'software'"), "raw_form")
 

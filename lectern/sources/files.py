@@ -44,6 +44,33 @@ def annotation_csv(spark: SparkSession, path: str, schema: str, header: bool = T
     return df.withColumns(clean)
 
 
+#: positional columns of the annotation files
+SCHEMAS = {
+    "codes_applied": "annotation_id string, annotator_id string, code string, was_present string, label string",
+    "references": "annotation_id string, referred string, doc_id string, reference string, annotator_id string, page string, ref_type string",
+    "in_text_mentions": "annotation_id string, annotator_id string, doc_id string, quote string, full_quote string, page int, type string, certainty int, memo string",
+    "articles": "doc_id string, article_set string, annotator_id string, no_selections string, unused_1 string, unused_2 string",
+}
+
+
+def annotation_table(spark: SparkSession, path: str, name: str, header: bool = True) -> DataFrame:
+    """One of the four annotation files: typed columns, null words as null, flags (was_present, no_selections) as booleans."""
+    df = annotation_csv(spark, path, SCHEMAS[name], header)
+    flags = [c for c in ("was_present", "no_selections") if c in df.columns]
+    return df.withColumns({c: F.coalesce(F.upper(F.trim(c)) == "TRUE", F.lit(False)) for c in flags}) if flags else df
+
+
+def languages(spark: SparkSession, path: str) -> DataFrame:
+    """key (lower case), name, wikipedia_url, wikidata_id; of several rows of one name the one with the smallest id."""
+    df = spark.read.csv(path, schema="name string, wikipedia_url string, wikidata_id string").where("trim(name) <> ''")
+    return df.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min(F.struct("wikidata_id", "name", "wikipedia_url")).alias("x")).select("key", F.trim("x.name").alias("name"), "x.wikipedia_url", "x.wikidata_id")
+
+
+def property_values(spark: SparkSession, path: str, column: str = "value") -> DataFrame:
+    """Lower-case values of a property or category list, each once."""
+    return term_list(spark, path).select(F.lower("term").alias(column)).distinct()
+
+
 def usage_corrections(spark: SparkSession, path: str) -> DataFrame:
     """id, resp, used; rows of another arity are dropped."""
     parts = spark.read.text(path).select(F.split("value", ",").alias("p")).where("size(p) = 3")

@@ -19,6 +19,28 @@ def envelopes(mentions: DataFrame, doc: str, json_col: str, order: str, applicat
     return m.select(doc, head.alias("json"))
 
 
+def mention_record(parts: dict[str, Column], context: Column, offset: Column, used: Column, score: Column, references: Column) -> Column:
+    """A whole mention as JSON: its fields (each with form and offsets, or null), context with its place, usage with score, references."""
+    attributes = F.struct(F.struct(used.alias("value"), score.alias("score")).alias("used"))
+    return F.to_json(F.struct(F.lit("software").alias("type"), *[c.alias(k) for k, c in parts.items()], context.alias("context"), offset.alias("contextOffset"), attributes.alias("mentionContextAttributes"), references.alias("references")))
+
+
+def file_envelopes(mentions: DataFrame, files: DataFrame, doc: str, json_col: str, order: str, application: str, version: str, date: str) -> DataFrame:
+    """One answer per file, also for files without mentions. files: doc, md5, pages, runtime and metadata (a JSON object or null)."""
+    m = mentions.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, json_col))), lambda x: x[json_col]).alias("m"))
+    j = files.join(m, doc, "left")
+    head = F.to_json(F.struct(F.lit(application).alias("application"), F.lit(version).alias("version"), F.lit(date).alias("date"), F.col("md5"), F.col("pages"), F.col("runtime")))
+    body = F.concat(F.lit(',"metadata":'), F.coalesce("metadata", F.lit("{}")), F.lit(',"mentions":['), F.coalesce(F.array_join("m", ","), F.lit("")), F.lit("]}"))
+    return j.select(doc, F.concat(F.regexp_replace(head, r"\}$", ""), body).alias("json"))
+
+
+def tei_document(paragraphs: DataFrame, doc: str, order: str, xml: str, title: Column) -> DataFrame:
+    """doc, tei: a header with the title and the marked-up paragraphs in order."""
+    esc = F.replace(F.replace(F.coalesce(title, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    g = paragraphs.groupBy(doc).agg(F.first(esc).alias("title"), F.transform(F.array_sort(F.collect_list(F.struct(order, xml))), lambda x: F.concat(F.lit("<p>"), x[xml], F.lit("</p>"))).alias("p"))
+    return g.select(doc, F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>'), "title", F.lit("</title></titleStmt></fileDesc></teiHeader><text><body>"), F.array_join("p", ""), F.lit("</body></text></TEI>")).alias("tei"))
+
+
 def distinct_references(refs: DataFrame, doc: str, key: str, order: str) -> DataFrame:
     """One row per reference key in the order of first use."""
     return refs.groupBy(doc, key).agg(F.min(order).alias("first_use"))

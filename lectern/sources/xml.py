@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.functions.tokens import PATTERN
+
 _doctype = re.compile(r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?>")
 ID = "{http://www.w3.org/XML/1998/namespace}id"
 
@@ -146,18 +148,19 @@ def article_metadata(df: DataFrame, doc: str = "doc_id", xml: str = "xml") -> Da
     return _rows(df, doc, xml, make, "title string, doi string, authors string")
 
 
-def inline_annotations(df: DataFrame, doc: str = "doc_id", xml: str = "xml", cleaned: bool = False) -> DataFrame:
-    """Paragraph text and its rs elements: para_no, text, spans (type, start, end exclusive, raw, id, corresp, attributes)."""
+def inline_annotations(df: DataFrame, doc: str = "doc_id", xml: str = "xml", cleaned: bool = False, unit: str = "p", inclusive: bool = False) -> DataFrame:
+    """Text of each paragraph (or other unit, as s for sentences) and its rs elements: para_no, text, spans (type, start, end, raw, id, corresp,
+    attributes). Ends are exclusive, or name the last character if ``inclusive``."""
 
     def make(root: ET.Element) -> Iterator[tuple]:
-        for no, p in enumerate(within(root, "p")):
+        for no, p in enumerate(within(root, unit)):
             text, spans = [], []
             at = 0
             for t, child in pieces(p):
                 t = re.sub(r"\s+", " ", t) if cleaned else t
                 if child is not None and tag(child) == "rs":
                     kind = {"publisher": "creator"}.get(child.get("type", ""), child.get("type", ""))
-                    spans.append({"type": kind, "start": at, "end": at + len(t), "raw": t, "id": child.get(ID), "corresp": child.get("corresp"), "attributes": {k.rsplit("}", 1)[-1]: v for k, v in child.attrib.items()}})
+                    spans.append({"type": kind, "start": at, "end": at + len(t) - inclusive, "raw": t, "id": child.get(ID), "corresp": child.get("corresp"), "attributes": {k.rsplit("}", 1)[-1]: v for k, v in child.attrib.items()}})
                 text.append(t)
                 at += len(t)
             yield no, "".join(text), spans
@@ -206,3 +209,62 @@ def text_chunks(df: DataFrame, doc: str = "doc_id", xml: str = "xml") -> DataFra
     """Squeezed text of every paragraph."""
     p = tei_paragraphs(df, doc, xml)
     return p.select("doc_id", "para_no", F.trim(F.regexp_replace("original", r"\s+", " ")).alias("text")).where("text <> ''")
+
+
+def labelled_tokens(df: DataFrame, doc: str = "doc_id", xml: str = "xml", unit: str = "p") -> DataFrame:
+    """para_no, pos, token, label of a labelled collection: rs elements give I-<type> and <type>, all else <other>; line and page breaks
+    (lb, pb) are the tokens +L+ and +PAGE+ with a null label."""
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", PATTERN))
+
+    def walk(e: ET.Element, label: str) -> Iterator[tuple[str, str | None]]:
+        name = tag(e)
+        if name in ("lb", "pb"):
+            yield {"lb": "+L+", "pb": "+PAGE+"}[name], None
+        own = e.get("type") or label if name == "rs" else label
+        if e.text:
+            yield e.text, own
+        for child in e:
+            yield from walk(child, own)
+            if child.tail:
+                yield child.tail, own
+
+    def make(root: ET.Element) -> Iterator[tuple]:
+        for no, p in enumerate(within(root, unit)):
+            pos, before = 0, "other"
+            for text, label in walk(p, "other"):
+                for token in [text] if label is None else pattern.findall(text):
+                    begins = label is not None and label != "other" and label != before
+                    yield no, pos, token, None if label is None else f"{'I-' if begins else ''}<{label}>"
+                    pos, before = pos + 1, before if label is None else label
+
+    return _rows(df, doc, xml, make, "para_no int, pos int, token string, label string")
+
+
+def annotators(df: DataFrame, doc: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """no, id, name of the annotators in the order of their respStmt; a statement without an id is named by its place."""
+
+    def make(root: ET.Element) -> Iterator[tuple]:
+        for no, r in enumerate(within(root, "respStmt")):
+            name = next((" ".join("".join(x.itertext()).split()) for x in within(r, "name", "persName")), None)
+            yield no, r.get(ID) or next((x.get(ID) for x in r.iter() if x.get(ID)), f"annotator{no}"), name
+
+    return _rows(df, doc, xml, make, "no int, id string, name string")
+
+
+def relevant_text(df: DataFrame, doc: str = "doc_id", xml: str = "xml") -> DataFrame:
+    """no, kind, text, n_ref of what is read for mentions: paragraphs of abstract and body, foot notes, figure descriptions and headings; the
+    text is without references, whose characters are counted."""
+    kinds = {"p": "paragraph", "note": "note", "figDesc": "figure", "head": "heading"}
+
+    def make(root: ET.Element) -> Iterator[tuple]:
+        no = 0
+        for part in within(root, "abstract", "body"):
+            for e in within(part, *kinds):
+                if tag(e) == "note" and e.get("place") != "foot":
+                    continue
+                kept = [t for t, child in pieces(e) if child is None or tag(child) != "ref"]
+                refs = sum(len(t) for t, child in pieces(e) if child is not None and tag(child) == "ref")
+                yield no, "abstract" if tag(part) == "abstract" else kinds[tag(e)], "".join(kept), refs
+                no += 1
+
+    return _rows(df, doc, xml, make, "no int, kind string, text string, n_ref int")

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from lectern.operators import corpus, entities, evaluate
-from lectern.operators.match import lexicon, propagate
+from lectern.operators.match import dictionary_hits, lexicon, propagate
 from lectern.operators.spans import containing, sentence_spans
 from lectern.plans.pipeline import extract_mentions
 from lectern.sources import files, sinks, xml
@@ -75,10 +75,11 @@ def test_propagation_reaches_all_segments_and_is_idempotent(spark):
     taken = spark.createDataFrame([(1, 0, 3)], "seg int, start int, end int")
     idf = spark.createDataFrame([("Foo", 2.0)], "term string, idf double")
     texts = texts.select("doc", "seg", "text")
-    got = {(r.seg, r.start) for r in propagate(texts, known, taken, "doc", "seg", idf).collect()}
+    hits = dictionary_hits(texts, lexicon(known, "term"), ("doc", "seg"))
+    got = {(r.seg, r.start) for r in propagate(hits, known, taken, "doc", "seg", idf).collect()}
     assert got == {(1, 10), (2, 4)}
-    again = taken.unionByName(propagate(texts, known, taken, "doc", "seg", idf).select("seg", F.col("start").cast("int"), "end"))
-    assert propagate(texts, known, again, "doc", "seg", idf).count() == 0
+    again = taken.unionByName(propagate(hits, known, taken, "doc", "seg", idf).select("seg", F.col("start").cast("int"), "end"))
+    assert propagate(hits, known, again, "doc", "seg", idf).count() == 0
     assert lexicon(spark.createDataFrame([], "n string"), "n").count() == 0
 
 

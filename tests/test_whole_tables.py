@@ -39,7 +39,7 @@ def test_all_raw_forms_are_normalised(spark, tables, name, kind):
 
 
 def test_all_tokens_have_features(spark, tables):
-    got = {r.token: r for r in core.QUERIES["token_features_all"](spark, tables[0]).collect()}
+    got = {r.token: r for r in core.QUERIES["token_features"](spark, tables[0]).collect()}
     pattern = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), PATTERN)
     assert set(got) == {t for t in (m[0] for m in re.finditer(pattern, TEXTS[0][3])) if t.strip()}
     kinds = {"Lu": "X", "Ll": "x", "Nd": "d"}
@@ -57,7 +57,7 @@ def test_ambiguous_terms_and_json_of_all_spans(spark, tables):
         if f is not None:
             by.setdefault(f.lower(), []).append(k)
     want = {(f, ",".join(sorted(set(k))), len(k)) for f, k in by.items() if len(set(k)) > 1}
-    assert {tuple(r) for r in core.QUERIES["ambiguous_terms_all"](spark, tables[0]).collect()} == want and len(want) == 3
+    assert {tuple(r) for r in core.QUERIES["ambiguous_terms"](spark, tables[0]).collect()} == want and len(want) == 3
     got = {r.span_id: json.loads(r.json) for r in core.QUERIES["mention_json_all"](spark, tables[0]).collect()}
     name = lambda f, a, b: {"offsetStart": a, "offsetEnd": b} | ({} if f is None else {"rawForm": f})
     assert got == {s: {"software-type": k, "software-name": name(f, a, b)} for _, s, k, f, a, b in tables[1]}
@@ -70,7 +70,7 @@ def test_every_annotated_name_is_propagated(spark, tmp_path):
     spans = [(t, f"s{i}", "software", f, *((b := next(v for k, v in text.items() if k[0] == t).index(f)), b + len(f))) if f else (t, f"s{i}", "software", None, 0, 1) for i, (t, f) in enumerate(marks)]
     spark.createDataFrame(spans, "text_id string, span_id string, entity_type string, raw_form string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/entity_spans.parquet")
     spark.createDataFrame([(k, d, 0, v, "en") for (k, d), v in text.items()], "text_id string, id string, para_no int, text string, lang string").write.parquet(f"{tmp_path}/texts.parquet")
-    got = {tuple(r[c] for c in ("id", "text_id", "start", "end", "term")) for r in core.QUERIES["propagated_names"](spark, str(tmp_path)).collect()}
+    got = {tuple(r[c] for c in ("id", "text_id", "start", "end", "term")) for r in core.QUERIES["propagated_hits"](spark, str(tmp_path)).collect()}
     assert got == {("a", "a2", 0, 8, "Ξenostat"), ("a", "a2", 15, 19, "Quor"), ("a", "a2", 21, 29, "Ξenostat"), ("a", "a2", 30, 31, "R"), ("b", "b2", 0, 10, "Quor Tools")}
 
 
@@ -80,7 +80,7 @@ def test_frequent_names_pass_the_gate_by_real_weights(spark, tmp_path):
     spark.createDataFrame(texts, "text_id string, id string, para_no int, text string, lang string").write.parquet(f"{tmp_path}/texts.parquet")
     spans = [(t, t, "software", "Cmn", 0, 3) for t in ("t0", "t1", "t2")] + [("t2", "x", "software", "Cmn", 0, 3)]
     spark.createDataFrame(spans, "text_id string, span_id string, entity_type string, raw_form string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/entity_spans.parquet")
-    got = {r.text_id for r in core.QUERIES["propagated_names"](spark, str(tmp_path)).collect()}
+    got = {r.text_id for r in core.QUERIES["propagated_hits"](spark, str(tmp_path)).collect()}
     assert got == {"two0", "two1", "two2"}
 
 
@@ -92,5 +92,5 @@ def test_codes_of_all_annotators(spark, tmp_path):
     for i, s, who, used, at in sorted(labels, key=lambda x: (x[4], x[0])):
         if used is not None:
             want[s][who.strip(" #").lower()] = used
-    got = {r.span_id: {k: v for k, v in r.asDict().items() if k != "span_id"} for r in core.QUERIES["pivot_codes_all"](spark, str(tmp_path)).collect()}
+    got = {r.span_id: {k: v for k, v in r.asDict().items() if k != "span_id"} for r in core.QUERIES["pivot_codes"](spark, str(tmp_path)).collect()}
     assert got == {s: {k: w.get(k) for k in [f"annotator{i}" for i in range(6)] + ["curator"]} for s, w in want.items()}
