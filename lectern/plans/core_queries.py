@@ -184,7 +184,7 @@ SENT = r"sp AS (SELECT text_id, regexp_extract_all(text, '[^.!?]*[.!?]+[ \n]*|[^
 
 @query(f"{BASE}, tf AS (SELECT id, term, count(*) AS tf FROM hits GROUP BY ALL), {SENT} SELECT h.text_id, h.id, h.term, h.start, h.start + length(h.term) AS \"end\", tf, CAST(min(a) AS BIGINT) AS sentence_start, CAST(min(b) AS BIGINT) AS sentence_end FROM hits h JOIN tf USING (id, term) JOIN se ON se.text_id = h.text_id AND a <= h.start AND h.start + length(h.term) <= b GROUP BY ALL")
 def dictionary_hits(t):
-    hits = _hits(t).select("text_id", "id", "term", "start", "end")
+    hits = cut_table(_hits(t).select("text_id", "id", "term", "start", "end"))  # read for the places and for the counts
     units = spans.sentence_spans(_texts(t), ["text_id"])
     inside = spans.containing(hits, units, ["text_id"]).withColumnsRenamed({"unit_start": "sentence_start", "unit_end": "sentence_end"})
     return inside.join(match.term_frequency(hits, "id"), ["id", "term"])
@@ -192,10 +192,10 @@ def dictionary_hits(t):
 
 @query(f"{BASE}, tf AS (SELECT id, term, count(*) AS tf FROM hits GROUP BY ALL), n AS (SELECT count(DISTINCT id) AS n FROM t), df AS (SELECT term, count(DISTINCT id) AS df FROM tf GROUP BY 1) SELECT id, term, tf, df, round(ln(n / df), 6) AS idf, round(tf * ln(n / df), 6) AS tfidf FROM tf JOIN df USING (term), n")
 def doc_term_tfidf(t):
-    tf = match.term_frequency(_hits(t), "id")
+    tf = cut_table(match.term_frequency(_hits(t), "id"))  # read for the counts and for the documents of each term
     n = _texts(t).select(F.countDistinct("id").alias("n_docs"))
     idf = match.inverse_frequency(tf, n, "id")
-    return tf.join(match.small(idf), "term").select("id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
+    return tf.join(idf, "term").select("id", "term", "tf", "df", F.round("idf", 6).alias("idf"), F.round(F.col("tf") * F.col("idf"), 6).alias("tfidf"))
 
 
 @query(f"WITH {TEXTS}, {TOKENS}, w AS (SELECT text_id, tokens[i] AS token FROM tp WHERE regexp_full_match(tokens[i], '\\p{{L}}[\\p{{L}}\\p{{M}}]*')), n AS (SELECT token, count(DISTINCT text_id) AS df FROM w GROUP BY 1), stop AS (SELECT token FROM n WHERE lower(token) = token ORDER BY df DESC, token LIMIT 200) SELECT token, df FROM n WHERE NOT (CASE WHEN length(token) = 1 THEN lower(token) ELSE token END) IN (SELECT token FROM stop) AND token <> 'R'")
