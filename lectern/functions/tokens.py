@@ -40,7 +40,7 @@ def token_table(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
     Places come from a running sum of lengths; the window is per text, so no text is shuffled whole."""
     from pyspark.sql import Window
 
-    t = df.select(*keep, F.posexplode(tokenize(F.col(text))).alias("pos", "token"))
+    t = df.select(*keep, F.posexplode_outer(tokenize(F.col(text))).alias("pos", "token")).where("pos is not null")  # else a filter on their size tokenises twice more
     w = Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.length("token")).over(w)
     return t.select(*keep, "pos", "token", end.alias("end")).select(*keep, "pos", "token", (F.col("end") - F.length("token")).alias("start"), "end")

@@ -26,7 +26,7 @@ def dictionary_hits(texts: DataFrame, lex: DataFrame, keys: tuple[str, ...], tex
 
     Texts are tokenised once and never shuffled: the first token joins the lexicon, the rest is compared in place."""
     t = texts.select(*keys, tokenize(F.col(text)).alias("tokens"))
-    at = t.select(*keys, "tokens", F.posexplode("tokens").alias("pos", "first"))
+    at = t.select(*keys, "tokens", F.posexplode_outer("tokens").alias("pos", "first")).where("pos is not null")  # else a filter on their size tokenises twice more
     hit = at.join(small(lex), "first").where(F.slice("tokens", F.col("pos") + 1, F.col("n")) == F.col("words"))
     start = F.when(F.col("pos") > 0, F.length(F.array_join(F.slice("tokens", F.lit(1), F.greatest(F.col("pos"), F.lit(1))), ""))).otherwise(0)
     return hit.select(*keys, "term", "pos", "n", start.alias("start"), (start + F.length("term")).alias("end"))

@@ -60,6 +60,6 @@ def in_zone(spans: DataFrame, zones: DataFrame, keys: list[str], flag: str = "in
 def sentence_spans(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """A plain splitter for offsets: a mark of .!? and blanks end a sentence. keys, start, end; spans cover the text."""
     parts = F.regexp_extract_all(F.col(text), F.lit(r"[^.!?]*[.!?]+[ \n]*|[^.!?]+"), F.lit(0))
-    p = texts.select(*keys, F.posexplode(parts).alias("no", "part"))
+    p = texts.select(*keys, F.posexplode_outer(parts).alias("no", "part")).where("no is not null")
     end = F.sum(F.length("part")).over(Window.partitionBy(*keys).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     return p.select(*keys, "no", "part", end.alias("end")).select(*keys, "no", (F.col("end") - F.length("part")).alias("start"), "end")

@@ -85,13 +85,13 @@ CASE WHEN t IN ('(', '[', '（') THEN 'OPENBRACKET' WHEN t IN (')', ']', '）')
 regexp_replace(t, '\p{{Nd}}', '0', 'g') AS shadow, {SHAPE} AS shape, {_runs_once(SHAPE)} AS trimmed_shape FROM d""")
 def token_features(t):
     """Of all tokens but white space, in any script."""
-    d = _texts(t).select(F.explode(tokenize(F.col("text"))).alias("t")).where(~F.col("t").rlike(r"^[\s\x{85}\p{Z}]+$")).distinct()
+    d = _texts(t).select(F.explode_outer(tokenize(F.col("text"))).alias("t")).where("t is not null").where(~F.col("t").rlike(r"^[\s\x{85}\p{Z}]+$")).distinct()
     return d.select(*features.feature_row(F.col("t")))
 
 
 @query(f"WITH {TEXTS}, {TOKENS}, o AS (SELECT text_id, i - 1 AS pos, tokens[i] AS token FROM tp) SELECT text_id, pos, token, " + ", ".join(f"lag(token, {k}) OVER w AS m{k}, lead(token, {k}) OVER w AS p{k}" for k in range(1, 5)) + ", concat_ws('|', lag(token) OVER w, token) AS bigram_left, concat_ws('|', token, lead(token) OVER w) AS bigram_right FROM o WINDOW w AS (PARTITION BY text_id ORDER BY pos)")
 def context_window_features(t):
-    tokens = _texts(t).select("text_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+    tokens = _texts(t).select("text_id", F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "token")).where("pos is not null")
     return features.context_window(tokens, ["text_id"])
 
 
@@ -200,7 +200,7 @@ def doc_term_tfidf(t):
 
 @query(f"WITH {TEXTS}, {TOKENS}, w AS (SELECT text_id, tokens[i] AS token FROM tp WHERE regexp_full_match(tokens[i], '\\p{{L}}[\\p{{L}}\\p{{M}}]*')), n AS (SELECT token, count(DISTINCT text_id) AS df FROM w GROUP BY 1), stop AS (SELECT token FROM n WHERE lower(token) = token ORDER BY df DESC, token LIMIT 200) SELECT token, df FROM n WHERE NOT (CASE WHEN length(token) = 1 THEN lower(token) ELSE token END) IN (SELECT token FROM stop) AND token <> 'R'")
 def stopword_filtered_terms(t):
-    n = _texts(t).select("text_id", F.explode(tokenize(F.col("text"))).alias("token")).where(F.col("token").rlike(r"^\p{L}[\p{L}\p{M}]*$")).groupBy("token").agg(F.countDistinct("text_id").alias("df"))
+    n = _texts(t).select("text_id", F.explode_outer(tokenize(F.col("text"))).alias("token")).where(F.col("token").rlike(r"^\p{L}[\p{L}\p{M}]*$")).groupBy("token").agg(F.countDistinct("text_id").alias("df"))
     stop = n.where(F.lower("token") == F.col("token")).orderBy(F.desc("df"), "token").limit(200).select(F.col("token").alias("k"))  # a top-k list is the feature
     k = F.when(F.length("token") == 1, F.lower("token")).otherwise(F.col("token"))
     return n.withColumn("k", k).join(F.broadcast(stop), "k", "left_anti").where("token <> 'R'").select("token", "df")
@@ -433,7 +433,7 @@ LABELLED = f"{TEXTS}, {TOKENS}, {LEX}, lb AS (SELECT text_id, i - 1 AS pos, CASE
 
 def _labelled(t) -> DataFrame:
     words = match.lexicon(t("software_names"), "soft_name").select(F.explode("words").alias("token")).where("length(token) > 1").distinct().withColumn("known", F.lit(True))
-    tok = _texts(t).select("text_id", F.posexplode(tokenize(F.col("text"))).alias("pos", "token"))
+    tok = _texts(t).select("text_id", F.posexplode_outer(tokenize(F.col("text"))).alias("pos", "token")).where("pos is not null")
     label = F.when(F.col("known"), "<software>").when(F.col("token").rlike("^[0-9]+$"), "<version>").otherwise("<other>")
     return tok.join(match.small(words), "token", "left").select("text_id", "pos", label.alias("label"))
 
