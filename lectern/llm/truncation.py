@@ -133,7 +133,7 @@ def tails(docs: DataFrame) -> DataFrame:
 
 def words(docs: DataFrame) -> DataFrame:
     """word, n over all texts."""
-    return docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode_outer(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}_]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def trie(vocabulary: DataFrame, prefixes: DataFrame, head: int = 4) -> DataFrame:
@@ -193,10 +193,10 @@ def truncated(documents: DataFrame) -> DataFrame:
     lines = open_.where("kind = 'open'").groupBy("line").agg(F.first("start").alias("start"))
     heads = headings(docs, lines)
     asked = t.where("kind = 'abbreviation'").select("token").distinct()
-    follow = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}.\-]{1,14}\.\s+[^\s])"), 1)).alias("x"))
+    follow = docs.select(F.explode_outer(F.regexp_extract_all("text", F.lit(r"([\p{L}.\-]{1,14}\.\s+[^\s])"), 1)).alias("x"))
     follow = follow.select(F.lower(F.regexp_extract("x", r"^(.*)\.\s+\S$", 1)).alias("token"), F.regexp_extract("x", r"(\S)$", 1).alias("c"))
     follow = follow.join(asked, "token", "left_semi").groupBy("token").agg(F.sum(F.col("c").rlike(r"[\p{Ll}\p{Nd}(\[&,]").cast("int")).alias("mid"), F.count(F.lit(1)).alias("times"))
-    suffix = docs.where(F.col("text").rlike(r"[\x{0E00}-\x{0E7F}]")).select(F.explode(F.split("text", r"\s+")).alias("chunk")).select(F.right("chunk", F.lit(5)).alias("token"))
+    suffix = docs.where(F.col("text").rlike(r"[\x{0E00}-\x{0E7F}]")).select(F.explode_outer(F.split("text", r"\s+")).alias("chunk")).select(F.right("chunk", F.lit(5)).alias("token"))
     suffix = suffix.join(t.where("kind = 'thai'").select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("chunks"))
     j = (
         t.join(nodes, "token", "left")
