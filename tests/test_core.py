@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-import lectern.plans.more_queries as core
+import lectern.plans.corpus_queries as core
 from lectern.functions import normalize
 from lectern.functions.tokens import FAST, PATTERN, offsets, tokenize
 from lectern.operators import spans
