@@ -3,12 +3,14 @@
 Texts become sequences of words (characters in Chinese, Japanese and Thai) without case, punctuation, spacing and look-alike
 characters. Exact copies collapse to classes, numbered and kept as one table; everything after works on one representative of a
 class. Of each window of rolling hashes over five words the minimum is kept, in the order of rarity: a count sketch, filled from all
-texts, puts common phrases last. Fingerprints of evaluation classes are joined to those of training classes; what is common in spite
-of that is spread over as many salts as its count asks for. A fingerprint carries its class's length and a map of its words, from which
-follows, inside the join, how many words at least are without a partner: pairs that can't reach ``share`` end there, and no other
-pair does. The seeds of a pair are chained in order on both sides, the chain is extended by alignment between and
-around its seeds, and where that falls short the texts are aligned in full (longest common subsequence). Every pair with one seed is
-aligned, so all that is reported is exact, and what can be missed is only a pair without a single seed.
+texts, puts common phrases last. Fingerprints of evaluation classes are joined to those of training classes; a bitmap of the former
+keeps back what has no partner, and what is common in spite of all is spread over cells of lengths and places, which only meet where
+both allow an alignment through the seed, and over as many salts as its count asks for. A fingerprint carries its class's length and
+counts of its words, from which follows, inside the join, how many words at least are without a partner: pairs that can't reach
+``share`` end there, or when their words are counted in full, and no other pair does. The seeds of a pair are chained in order on both
+sides, the chain is extended by alignment between and around its seeds, and where that falls short the texts are aligned in full
+(longest common subsequence). Every other pair with one seed is aligned, so all that is reported is exact, and what can be missed is
+only a pair without a single seed.
 
 Two texts that share a run of window + k - 1 words always meet. Texts of a few sentences, of which one word in five may differ and leave
 no run of five, are also fingerprinted by two words (three characters) in windows of three, so that a common run of four words
@@ -25,7 +27,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,8 +49,12 @@ K, K_DENSE, WINDOW = 5, 10, 8
 SHORT, SHORT_DENSE, K_SHORT, K_SHORT_DENSE, WINDOW_SHORT = 32, 60, 2, 3, 3
 #: buckets of the sketch, as a power of two: one for each class of texts within these bounds (a byte each)
 SKETCH_BITS = (18, 24)
-#: a fingerprint is spread over one salt for each so many classes that hold it, as a power of two
-SALT_BITS = 12
+#: a fingerprint is spread once so many classes hold it, as a power of two: over cells, and in them over one salt for each so many times CELLS
+SALT_BITS, CELLS = 12, 16
+#: bits of the map of evaluation fingerprints, as a power of two: a few hundred for each class within these bounds
+MARK_BITS = (18, 27)
+#: counts of a class's words: so many times 64 counters up to seven
+GROUPS = 2
 
 
 def units(text: str, lang: str | None) -> list[str]:
@@ -94,11 +102,13 @@ class Batch:
         self.start = np.cumsum(self.n) - self.n
         self.hashes = np.array([h for w in words for h in w], np.uint64)
 
-    def maps(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each text, in two: a bit of each word. A bit set in one map only stands for at least one word without a partner."""
-        bit = np.uint64(1) << (self.hashes & np.uint64(63))
-        upper = (self.hashes & np.uint64(64)) > 0
-        return tuple(np.bitwise_or.reduceat(np.where(upper == x, bit, np.uint64(0)), self.start).astype(np.int64) for x in (False, True))
+    def maps(self) -> tuple[np.ndarray, ...]:
+        """Counts of each text's words by hash, in GROUPS x 64 counters: a bit of each counter from one on, from two on and so on to seven.
+        A bit set in one text's maps only stands for at least one word without a partner."""
+        n, size = len(self.n), 64 * GROUPS
+        at = np.repeat(np.arange(n), self.n) * size + (self.hashes % np.uint64(size)).astype(np.int64)
+        count = np.bincount(at, minlength=n * size).reshape(n, size)
+        return tuple(x for i in range(1, 8) for x in np.packbits(count >= i, axis=1, bitorder="little").view("<i8").T)
 
     def lists(self, share: float) -> Iterator[tuple[int, int, np.ndarray]]:
         """(k, window, texts) of the list of longer and that of short texts, by kind; texts shorter than k words go by all they have."""
@@ -172,12 +182,15 @@ def rarity(classes: DataFrame, share: float, n_classes: int) -> np.ndarray:
     """log2 of the counts of fingerprints by bucket: one byte each; their number follows that of the classes within SKETCH_BITS."""
     bits = min(max(math.ceil(math.log2(n_classes + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])
     n = classes.select("norm", "dense").mapInPandas(_sketch(share, bits), "bucket int, n bigint").groupBy("bucket").agg(F.ceil(F.log2(F.sum("n") + 1)).cast("int").alias("n"))
-    code = F.array_sort(F.collect_list(F.struct((F.col("bucket") % 4096).alias("at"), "n")))
-    block = n.groupBy((F.col("bucket") / 4096).cast("int").alias("b")).agg(F.transform(code, lambda x: x["at"] * 64 + x["n"]).alias("x"))
-    out = np.zeros(1 << bits, np.uint8)
-    for row in block.toLocalIterator():  # 2^bits / 4096 rows
+    return _filled(n, np.zeros(1 << bits, np.uint8))
+
+
+def _filled(cells: DataFrame, out: np.ndarray) -> np.ndarray:
+    """cells: bucket, n (32 bits at most). Sent in blocks of 4,096 buckets."""
+    code = F.collect_list((F.col("bucket") % 4096).cast("bigint") * (1 << 32) + F.col("n"))
+    for row in cells.groupBy((F.col("bucket") / 4096).cast("int").alias("b")).agg(code.alias("x")).toLocalIterator():
         x = np.array(row.x)
-        out[row.b * 4096 + x // 64] = x % 64
+        out[row.b * 4096 + (x >> 32)] = x & 0xFFFFFFFF
     return out
 
 
@@ -192,11 +205,60 @@ def winnow(texts: Batch, level: np.ndarray, share: float) -> pd.DataFrame:
     return pd.concat(parts).drop_duplicates(["text", "fp"]) if parts else pd.DataFrame({"text": [], "pos": [], "fp": [], "level": []}, dtype="int64")
 
 
-PRINTS = "fp bigint, salt int, c bigint, pos int, size int, m0 bigint, m1 bigint"
+def _marks(level, share: float, bits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, known = np.zeros(1 << bits, bool), Hashes()
+        for pdf in batches:
+            fp = winnow(Batch(pdf["norm"], pdf["dense"], known), level.value, share)["fp"].to_numpy(np.int64)
+            seen[fp.view(np.uint64) >> np.uint64(64 - bits)] = True
+        words = np.packbits(seen, bitorder="little").view("<u4")
+        at = np.flatnonzero(words)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": words[at].astype(np.int64)})
+
+    return run
+
+
+def marks(held: DataFrame, level, share: float, n_held: int) -> np.ndarray:
+    """A bit for each fingerprint of evaluation classes, by its first bits, in words of 32; a fingerprint without one has no partner."""
+    bits = min(max(math.ceil(math.log2(256 * n_held + 1)), MARK_BITS[0]), MARK_BITS[1])
+    n = held.select("norm", "dense").mapInPandas(_marks(level, share, bits), "bucket int, n bigint").groupBy("bucket").agg(F.bit_or("n").alias("n"))
+    return _filled(n, np.zeros(1 << bits - 5, np.uint32))
+
+
+def marked(fp: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = fp.view(np.uint64) >> np.uint64(64 - (len(words).bit_length() + 4))
+    return words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1) > 0
 
 
-def _prints(level, share: float, every_salt: bool):
-    """Fingerprints of classes, at one salt each, or repeated for every salt."""
+def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and which number, of all numbers from first to last."""
+    n = last - first + 1
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
+
+
+def cells(pos: np.ndarray, size: np.ndarray, share: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which fingerprint, and its cell: lengths within a factor of ``share``, places within the words that may be left over. With every,
+    all cells that hold a fingerprint with which a text of this length may be aligned through this place."""
+    by, ahead = -math.log(share), 1 - share
+    length = lambda x: np.floor(np.log(x) / by).astype(np.int64)
+    i, q = _spans(length(size * share * (1 - 1e-9)), length(size / share * (1 + 1e-9))) if every else (np.arange(len(pos)), length(size))
+    most = ahead * np.exp((q + 1) * by) * (1 + 1e-9)  # words left over in the longest text of these
+    width = np.ceil(most).astype(np.int64)
+    p = pos[i].astype(np.int64)
+    if every:
+        j, slot = _spans(np.maximum(p - np.ceil(ahead * size[i] + 1e-6).astype(np.int64), 0) // width, (p + width) // width)
+        i, q = i[j], q[j]
+    else:
+        slot = p // width
+    return i, (q + 128) << 48 | slot << 16  # q is below 0 for the shortest
+
+
+PRINTS = "fp bigint, salt bigint, c bigint, pos int, size int, " + ", ".join(f"{x}{i} bigint" for x in "xyz" for i in range(GROUPS))
+
+
+def _prints(level, share: float, every_salt: bool, partners=None):
+    """Fingerprints of classes that may have partners, in one cell and at one salt each, or repeated for all where they may meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashes()
@@ -205,12 +267,22 @@ def _prints(level, share: float, every_salt: bool):
             if not len(texts.n):
                 continue
             p, c = winnow(texts, level.value, share), pdf["c"].to_numpy()
-            t, salts = p["text"].to_numpy(), 1 << np.maximum(p["level"].to_numpy(np.int64) - SALT_BITS, 0)
-            i = np.repeat(np.arange(len(p)), salts) if every_salt else np.arange(len(p))
-            salt = np.arange(len(i)) - np.repeat(np.cumsum(salts) - salts, salts) if every_salt else c[t] % salts
-            m0, m1 = texts.maps()
-            t = t[i]
-            yield pd.DataFrame({"fp": p["fp"].to_numpy()[i], "salt": salt.astype(np.int32), "c": c[t], "pos": p["pos"].to_numpy(np.int32)[i], "size": texts.n[t].astype(np.int32), "m0": m0[t], "m1": m1[t]})
+            if partners is not None:
+                p = p[marked(p["fp"].to_numpy(np.int64), partners.value)]
+            t, pos, high = p["text"].to_numpy(np.int64), p["pos"].to_numpy(np.int64), np.maximum(p["level"].to_numpy(np.int64) - SALT_BITS, 0)
+            few, many = np.flatnonzero(high == 0), np.flatnonzero(high > 0)
+            i, cell = cells(pos[many], texts.n[t[many]], share, every_salt)
+            i, cell = np.concatenate([few, many[i]]), np.concatenate([np.zeros(len(few), np.int64), cell])
+            salts = np.maximum((1 << high[i]) // CELLS, 1)
+            if every_salt:
+                j, salt = _spans(np.zeros(len(i), np.int64), salts - 1)
+                i, cell = i[j], cell[j]
+            else:
+                salt = c[t[i]] % salts
+            t, m = t[i], np.array(texts.maps()).reshape(7, GROUPS, -1)
+            bits = {"x": m[3], "y": (m[1] ^ m[3]) | m[5], "z": (m[0] ^ m[1]) | (m[2] ^ m[3]) | (m[4] ^ m[5]) | m[6]}
+            out = {"fp": p["fp"].to_numpy()[i], "salt": cell + salt, "c": c[t], "pos": pos[i].astype(np.int32), "size": texts.n[t].astype(np.int32)}
+            yield pd.DataFrame(out | {f"{x}{k}": bits[x][k][t] for x in bits for k in range(GROUPS)})
 
     return run
 
@@ -250,6 +322,8 @@ def _aligned(share: float):
             for a, b, na, nb, d, seeds in zip(pdf["a"], pdf["b"], pdf["norm_a"], pdf["norm_b"], pdf["dense"], pdf["seeds"]):
                 wa, wb = _words(na, d), _words(nb, d)
                 longer = max(len(wa), len(wb))
+                if (Counter(wa) & Counter(wb)).total() < share * longer - 1e-9:
+                    continue
                 n = extended(wa, wb, chain([(s >> 32, s & 0xFFFFFFFF) for s in seeds.tolist()]))
                 if n < share * longer - 1e-9:
                     n = common(wa, wb)
@@ -260,24 +334,38 @@ def _aligned(share: float):
     return run
 
 
+def alone(s: str, t: str) -> Column:
+    """Words of one side, at least, that have no partner on the other: see Batch.maps, of which a counter's three binary digits are sent."""
+
+    def maps(side: str) -> list[Column]:
+        out = []
+        for i in range(GROUPS):
+            x, y, z = (F.col(f"{d}{i}_{side}") for d in "xyz")
+            out += [x.bitwiseOR(y).bitwiseOR(z), x.bitwiseOR(y), x.bitwiseOR(y.bitwiseAND(z)), x, x.bitwiseAND(y.bitwiseOR(z)), x.bitwiseAND(y), x.bitwiseAND(y).bitwiseAND(z)]
+        return out
+
+    return reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseAND(F.bitwise_not(y))) for x, y in zip(maps(s), maps(t))])
+
+
 def seeds(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
     """a (evaluation), b (training), seeds (places on both sides, in one number) of the pairs that lengths and words allow."""
-    side = lambda p, s: p.select("fp", "salt", *[F.col(x).alias(f"{x}_{s}") for x in ("c", "pos", "size", "m0", "m1")])
+    side = lambda p, s: p.select("fp", "salt", *[F.col(x).alias(f"{x}_{s}") for x in p.columns if x not in ("fp", "salt")])
     longer = F.greatest("size_a", "size_b")
-    alone = lambda s, t: F.bit_count(F.col(f"m0_{s}").bitwiseAND(F.bitwise_not(F.col(f"m0_{t}")))) + F.bit_count(F.col(f"m1_{s}").bitwiseAND(F.bitwise_not(F.col(f"m1_{t}"))))
     through = F.least("pos_a", "pos_b") + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     need = share * longer - 1e-6
     j = side(a, "a").join(side(b, "b"), ["fp", "salt"])
-    j = j.where((F.col("c_a") != F.col("c_b")) & (F.least("size_a", "size_b") >= need) & (through >= need) & (F.col("size_a") - alone("a", "b") >= need) & (F.col("size_b") - alone("b", "a") >= need))
+    j = j.where((F.least("size_a", "size_b") >= need) & (through >= need) & (F.col("c_a") != F.col("c_b")) & (F.col("size_a") - alone("a", "b") >= need))
     return j.groupBy(F.col("c_a").alias("a"), F.col("c_b").alias("b")).agg(F.collect_list(F.shiftleft(F.col("pos_a").cast("bigint"), 32) + F.col("pos_b")).alias("seeds"))
 
 
 def near_classes(classes: DataFrame, share: float = 0.8) -> DataFrame:
     """a (holds evaluation rows), b (holds training rows), coverage. classes: c, norm, dense, train, held; a written table."""
     level = classes.sparkSession.sparkContext.broadcast(rarity(classes, share, classes.count()))  # at most 2^24 bytes
-    prints = lambda f, every: classes.where(f).select("c", "norm", "dense").mapInPandas(_prints(level, share, every), PRINTS)
+    held = classes.where("held")
+    partners = classes.sparkSession.sparkContext.broadcast(marks(held, level, share, held.count()))  # at most 2^27 bits
+    prints = lambda f, every, known: classes.where(f).select("c", "norm", "dense").mapInPandas(_prints(level, share, every, known), PRINTS)
     text = lambda s, f: classes.where(f).select(F.col("c").alias(s), F.col("norm").alias(f"norm_{s}"), *([F.col("dense")] if s == "a" else []))
-    both = seeds(prints("held", True), prints("train", False), share).join(text("b", "train"), "b").join(text("a", "held"), "a")
+    both = seeds(prints("held", True, None), prints("train", False, partners), share).join(text("b", "train"), "b").join(text("a", "held"), "a")
     return both.select("a", "b", "norm_a", "norm_b", "dense", "seeds").mapInPandas(_aligned(share), "a bigint, b bigint, coverage double")
 
 

@@ -117,3 +117,47 @@ def test_a_common_fingerprint_in_many_salts(spark, monkeypatch):
     ids = spark.createDataFrame([(f"k{i}", "test" if i % 2 else "train", "o") for i in range(80)], "id string, split string, origin string")
     got = {(r.held_id, r.train_id) for r in text_overlaps(texts, ids).collect()}
     assert {(i + 1, i) for i in range(0, 80, 2)} <= got and {(101 + i, 100 + j) for i in range(0, 20, 2) for j in range(0, 20, 2)} <= got
+
+
+def test_long_texts_of_other_words_end_in_the_join(spark):
+    """Texts with one phrase in common: lengths and places allow every pair, the counts of words none; training prints without a partner stay back."""
+    from lectern.llm import overlap
+
+    r = random.Random(7)
+    text = lambda: " ".join([f"p{i}" for i in range(12)] + [f"w{r.randrange(900)}" for _ in range(288)])
+    classes = spark.createDataFrame([(i, text(), 0) for i in range(40)], "c bigint, norm string, dense int")
+    level = spark.sparkContext.broadcast(np.zeros(1 << 18, np.uint8))
+    held, train = classes.where("c < 20"), classes.where("c >= 20")
+    prints = lambda side, *how: side.mapInPandas(overlap._prints(level, 0.8, *how), overlap.PRINTS)
+    a, b = prints(held, True), prints(train, False)
+    assert a.select("fp").join(b.select("fp"), "fp").count() > 400
+    assert overlap.seeds(a, b, 0.8).count() == 0
+    known = spark.sparkContext.broadcast(overlap.marks(held, level, 0.8, 20))
+    kept, shared = {x.fp for x in prints(train, False, known).collect()}, {x.fp for x in a.join(b.select("fp"), "fp", "left_semi").collect()}
+    assert shared <= kept and len(kept) < b.count() / 4
+
+
+def test_cells_lose_no_seed():
+    from lectern.llm.overlap import cells
+
+    r = np.random.default_rng(3)
+    for share in (0.6, 0.8, 0.95):
+        size = r.integers(1, 300, 40_000)
+        other = np.maximum((size * r.uniform(share * 0.9, 1.1 / share, len(size))).astype(np.int64), 1)
+        pos = (r.uniform(0, 1, len(size)) * size).astype(np.int64)
+        there = np.clip(pos + r.integers(-40, 41, len(size)), 0, other - 1)
+        through = np.minimum(pos, there) + np.minimum(size - pos, other - there)
+        may = through >= share * np.maximum(size, other) - 1e-6
+        i, cell = cells(pos, size, share, True)
+        _, its = cells(there, other, share, False)
+        met = np.bincount(i[cell == its[i]], minlength=len(size))
+        assert may.sum() > 2000 and met[may].min() == 1 and met.max() == 1
+
+
+def test_maps_count_words():
+    r = random.Random(11)
+    for _ in range(100):
+        a, b = ([r.randrange(40) for _ in range(r.randint(1, 300))] for _ in range(2))
+        m = Batch([" ".join(map(str, x)) for x in (a, b)], [0, 0], Hashes()).maps()
+        alone = sum((int(x[0]) & ~int(x[1]) & (1 << 64) - 1).bit_count() for x in m)
+        assert len(a) - alone >= sum(min(a.count(x), b.count(x)) for x in set(a))
